@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from .compression import op1_compression_bands
+from .minmax import op8_minmax_dedup
 from .stratified import op7_stratified_interleaving
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL: list[Query] = [op1_compression_bands, op7_stratified_interleaving]
+_ALL: list[Query] = [op1_compression_bands, op7_stratified_interleaving, op8_minmax_dedup]
 
 
 def _shipped(f: Query) -> Query:
