@@ -6,7 +6,7 @@ Jaccard similarity 0.85 shares a band with probability 1 - 9e-7.  Candidates are
 
 Whole groups are never paired off.  Documents with equal sets are one class.  In each bucket every class is first
 confirmed against the bucket's smallest class only; links make components, and only buckets that then still hold
-several components are looked at again, between classes of different components.  No candidate is capped.
+several components are looked at again, block against block.  No candidate is capped.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from .hashing import U, mix, shingle_set
 BANDS, ROWS = 36, 7
 PERMS = BANDS * ROWS // 2
 THRESHOLD = 85
+#: Documents in a block of the second pass, and distinct shingles compared at once there.
+BLOCK = 48
+_COLUMNS = 1 << 16
 _CHUNK = 4096
 _MULT = mix(np.arange(1, PERMS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _ADD = mix(np.arange(1, PERMS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
@@ -88,6 +91,57 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return links
 
 
+def _block_links(left: list[dict], right: list[dict], threshold: int) -> list[dict]:
+    """Links between documents of different labels that join what is apart so far; a spanning forest of them, not all."""
+    sets = [np.asarray(d["s"], dtype=np.int64) for d in (*left, *right)]
+    sizes = np.array([len(s) for s in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.zeros((len(left), len(right)))
+    for at in range(0, int(column.max()) + 1, _COLUMNS):
+        here = (column >= at) & (column < at + _COLUMNS)
+        has = np.zeros((len(sets), _COLUMNS if column.max() >= _COLUMNS else int(column.max()) + 1), dtype=np.float32)
+        has[owner[here], column[here] - at] = 1
+        shared += has[: len(left)] @ has[len(left) :].T
+    total = sizes[: len(left), None] + sizes[None, len(left) :] - shared
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(100 * shared >= threshold * total), strict=True):
+        a, b = find(left[i]["label"]), find(right[j]["label"])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append({"a": left[i]["cid"], "b": right[j]["cid"]})
+    return out
+
+
+def _across(named: DataFrame, mixed: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links across the components of mixed buckets, whatever their size: members are dealt into blocks of about
+    ``BLOCK`` and blocks, not documents, are paired, so a row stands for thousands of comparisons on full sets."""
+    rest = common.cut(named.join(mixed, "key"), "dedup-rest")
+    ids = rest.select(F.col("cid").alias("doc_id")).distinct()
+    texts = docs.join(ids.hint("shuffle_hash"), "doc_id")
+    sets = common.cut(texts.select(F.col("doc_id").alias("cid"), F.arrow_udf(_sets, "array<bigint>")("text").alias("s")), "dedup-sets")
+    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / BLOCK)).alias("block")
+    held = rest.select("key", "cid", "label", block).join(sets, "cid")
+    blocks = common.cut(held.groupBy("key", "block").agg(F.collect_list(F.struct("cid", "label", "s")).alias("docs")), "dedup-blocks")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    two = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")))
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([pa.field("a", pa.int64()), pa.field("b", pa.int64())]))
+        for left, right in batches:
+            yield pa.array([_block_links(a.as_py(), b.as_py(), threshold) for a, b in zip(left, right, strict=True)], type=kind)
+
+    found = two.select(F.explode(F.arrow_udf(run, "array<struct<a: bigint, b: bigint>>")("x.docs", "y.docs")).alias("l"))
+    return common.cut(found.select("l.a", "l.b").distinct(), "dedup-across")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node it reaches) for every node of ``links`` (a, b).
 
@@ -127,19 +181,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     links = _confirmed(pairs, docs, threshold)
     labels = components(links)
 
-    # buckets that hold several components: pairs across them that no pivot has settled
-    named = members.join(labels, members["cid"] == labels["node"], "left").select("key", "cid", "n", "pivot", F.coalesce("label", "cid").alias("label"))
+    # buckets that still hold several components: links across them that no pivot has shown
+    named = members.join(labels, members["cid"] == labels["node"], "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     named = common.cut(named, "dedup-named")
-    by_label = named.groupBy("key", "label").agg(F.count("*").alias("k"))
-    mixed = by_label.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("k", "label")).alias("most")).where("parts > 1")
-    mixed = common.cut(mixed.select("key", F.col("most.label").alias("main")), "dedup-mixed")
-    rest = common.cut(named.where("cid <> pivot").join(mixed, "key").select("key", "cid", "n", "label", "main"), "dedup-rest")
-    x, y = rest.where("label <> main").alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))) & (100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")))
-    across = across.select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")).distinct()
-    across = common.cut(across.join(pairs, ["a", "b"], "left_anti"), "dedup-across")
-    if not across.isEmpty():
-        labels = components(links.union(_confirmed(across, docs, threshold)))
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"))
+    # of two members the pivot has settled the only pair
+    mixed = common.cut(mixed.where("lo <> hi and members > 2").select("key", "members"), "dedup-mixed")
+    if not mixed.isEmpty():
+        labels = components(links.union(_across(named, mixed, docs, threshold)))
 
     named = classes.select("fp", "cid").join(labels, classes["cid"] == labels["node"], "left")
     named = common.cut(named.select("fp", F.coalesce("label", "cid").alias("component")), "dedup-components")
