@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
+from .arrow_ids import op4_arrow_sequences
 from .chunk_bpe import op6_distinct_chunks
 from .compression import op1_compression_bands
 from .containment import op3_size_partitioned_containment
+from .ecoc import op9_output_codes
 from .minmax import op8_minmax_dedup
 from .stratified import op7_stratified_interleaving
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL: list[Query] = [op1_compression_bands, op3_size_partitioned_containment, op6_distinct_chunks, op7_stratified_interleaving, op8_minmax_dedup]
+_ALL: list[Query] = [op1_compression_bands, op3_size_partitioned_containment, op4_arrow_sequences, op6_distinct_chunks, op9_output_codes, op7_stratified_interleaving, op8_minmax_dedup]
 
 
 def _shipped(f: Query) -> Query:
