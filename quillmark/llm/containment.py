@@ -14,10 +14,11 @@ compared with each block.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +127,18 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r[0], r[1]) for r in part.collect()]
 
 
+def _searcher(sent: Broadcast, threshold: float) -> Callable:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = ("item_id", "n_item", "n_shared")
+        kind = pa.list_(pa.struct([pa.field(x, pa.int64()) for x in names]))
+        index = ItemIndex(sent.value)
+        for texts in batches:
+            rows = [[dict(zip(names, r, strict=True)) for r in index.search(t.as_py(), threshold)] for t in texts]
+            yield pa.array(rows, type=kind)
+
+    return run
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """``docs`` with an array column ``contaminated`` (underscores before the name where it is taken) of the items each contains.
 
@@ -138,17 +151,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT)
     found = []
     for block in _blocks(items):
         sent = sc.broadcast(block)
-        kept: list[ItemIndex] = []
-
-        def run(batches: Iterator[pa.Array], sent=sent, kept=kept) -> Iterator[pa.Array]:
-            if not kept:
-                kept.append(ItemIndex(sent.value))
-            fields = [pa.field(x, pa.int64()) for x in ("item_id", "n_item", "n_shared")]
-            for texts in batches:
-                rows = [[dict(zip(("item_id", "n_item", "n_shared"), r, strict=True)) for r in kept[0].search(t.as_py(), threshold)] for t in texts]
-                yield pa.array(rows, type=pa.list_(pa.struct(fields)))
-
-        found.append(F.arrow_udf(run, FOUND)(F.col("text").cast("string")))
+        found.append(F.arrow_udf(_searcher(sent, threshold), FOUND)(F.col("text").cast("string")))
     return docs.withColumn(name, F.concat(*found) if len(found) > 1 else found[0])
 
 
