@@ -10,6 +10,7 @@ retried or duplicated tasks do no harm.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,9 @@ END_ID = 2
 #: Sequences in a record batch.
 BATCH = 64
 #: Distinct chunks whose ids a Python worker keeps, and the longest that it keeps.
-TABLE, LONGEST = 400_000, 64
+TABLE, LONGEST = 800_000, 64
+_CALL = 2048  # chunks in a call of the library
+_BYTES = 2 << 20  # texts encoded together
 
 MANIFEST = "part int, file string, docs bigint, tokens bigint"
 PLACES = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, file string, sequence bigint, offset int"
@@ -45,10 +48,11 @@ class Encoder:
     """The library's ids of whole texts, with the ids of frequent chunks kept.
 
     The byte-level pre-tokeniser never joins what stands before a space or newline that a non-space follows with what
-    comes after, so texts are cut there.  Texts that hold an added token's string are encoded whole.
+    comes after, nor a letter with punctuation after it, so texts are cut there.  Texts that hold an added token's string are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -63,45 +67,57 @@ class Encoder:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        if "\n" not in text:
-            return out
-        fine: list[str] = []
-        for c in out:
-            if "\n" in c:
-                lines = c.split("\n")
-                fine.append(lines[0])
-                for p in lines[1:]:
-                    if p and not p[0].isspace():
-                        fine.append("\n" + p)
-                    else:
-                        fine[-1] += "\n" + p
+        out: list[str] = [""]
+
+        def put(mark: str, p: str) -> None:
+            if p[-1] in ".,;:!?" and p[-2:-1].isalpha():  # a letter run ends before punctuation
+                out.append(mark + p[:-1])
+                out.append(p[-1])
             else:
-                fine.append(c)
-        return fine
+                out.append(mark + p)
+
+        mark = ""
+        for line in text.split("\n"):
+            for p in line.split(" "):
+                if p and not p[0].isspace():
+                    put(mark, p)
+                else:
+                    out[-1] += mark + p
+                mark = " "
+            mark = "\n"
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.cuts or any(a in text for a in self.added):
-            return self._bytes(text)
-        table, out = self.table, []
-        for c in self.chunks(text):
-            x = table.get(c)
-            if x is None:
-                x = self._bytes(c) if c else b""
-                if len(c) <= LONGEST:
-                    if len(table) >= TABLE:
-                        table.clear()
-                    table[c] = x
-            out.append(x)
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of some texts; chunks not in the table go to the library in batches, which costs far less than calls of their own."""
+        if not self.cuts:
+            return [self._bytes(t) if t else b"" for t in texts]
+        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        cut = [[] if k in whole else self.chunks(t) for k, t in enumerate(texts)]
+        table = self.table
+        new = list({c for words in cut for c in words if c not in table})
+        got = table
+        if new:
+            if len(table) + len(new) > TABLE:
+                kept = {c: table[c] for words in cut for c in words if c in table}
+                table.clear()
+                got = kept
+            extra = {}
+            for at in range(0, len(new), _CALL):
+                part = new[at : at + _CALL]
+                for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    extra[c] = np.array(e.ids, dtype=self.dtype).tobytes()
+            if got is table:
+                table.update((c, x) for c, x in extra.items() if len(c) <= LONGEST)
+                look = table if all(len(c) <= LONGEST for c in new) else table | extra
+            else:
+                look = got | extra
+                table.update((c, x) for c, x in look.items() if len(c) <= LONGEST and len(table) < TABLE)
+        else:
+            look = table
+        return [(self._bytes(t) if k in whole else b"".join([look[c] for c in cut[k]])) for k, t in enumerate(texts)]
 
 
 @lru_cache(maxsize=2)
@@ -185,11 +201,24 @@ def write_ids(docs: DataFrame, base: str, tokenizer: str | None = None, length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out = encoder(tokenizer), None
         end = np.array([end_id], dtype=enc.dtype).tobytes()
+        held, size = [], 0
+
+        def flush(w: _Writer) -> None:
+            nonlocal size
+            for (i, _), ids in zip(held, enc.encode_all([t for _, t in held]), strict=True):
+                w.add(i, ids + end)
+            held.clear()
+            size = 0
+
         for b in batches:
             for i, t in zip(b.column(0), b.column(1), strict=True):
                 out = out or _Writer(base, enc.dtype, length)
-                out.add(i.as_py(), enc.encode(t.as_py() or "") + end)
+                held.append((i.as_py(), t.as_py() or ""))
+                size += len(held[-1][1])
+                if size >= _BYTES:
+                    flush(out)
         if out:
+            flush(out)
             name = out.close()
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([out.docs], pa.int64()), pa.array([out.tokens], pa.int64())], names=["part", "file", "docs", "tokens"])
 
