@@ -161,7 +161,8 @@ class _Writer:
 
     def _flush(self, last: bool) -> None:
         flat = np.frombuffer(b"".join(self.held), dtype=self.dtype)
-        rows = -(-len(flat) // self.length) if last else len(flat) // self.length
+        # all batches but the last are full, so a sequence's batch follows from its number
+        rows = -(-len(flat) // self.length) if last else len(flat) // (self.length * BATCH) * BATCH
         full, rest = flat[: rows * self.length], flat[rows * self.length :]
         for at in range(0, rows, BATCH):
             part = full[at * self.length : (at + BATCH) * self.length]
@@ -251,6 +252,8 @@ class IdFile:
         while n > 0:
             flat = self._batch(start // per).column(0).flatten().to_numpy(zero_copy_only=True)
             part = flat[start % per : start % per + n]
+            if not len(part):
+                raise ValueError("the file is shorter than its index says")
             out.append(part)
             start, n = start + len(part), n - len(part)
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, dtype=np.uint16)
