@@ -12,12 +12,14 @@ from .chunk_bpe import op6_distinct_chunks
 from .compression import op1_compression_bands
 from .containment import op3_size_partitioned_containment
 from .ecoc import op9_output_codes
+from .licenses import op10_license_classifier
 from .minmax import op8_minmax_dedup
+from .pii import op2_boosted_candidates
 from .stratified import op7_stratified_interleaving
 from .trigram import op5_trigram_index
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL: list[Query] = [op1_compression_bands, op3_size_partitioned_containment, op4_arrow_sequences, op5_trigram_index, op6_distinct_chunks, op9_output_codes, op7_stratified_interleaving, op8_minmax_dedup]
+_ALL: list[Query] = [op1_compression_bands, op2_boosted_candidates, op3_size_partitioned_containment, op4_arrow_sequences, op5_trigram_index, op6_distinct_chunks, op9_output_codes, op7_stratified_interleaving, op8_minmax_dedup, op10_license_classifier]
 
 
 def _shipped(f: Query) -> Query:
