@@ -112,7 +112,7 @@ def paragraph_licenses(docs: DataFrame) -> DataFrame:
     parts = parts.select("doc_id", "text_hash", "paragraph", words.alias("words")).where(F.exists("words", lambda w: w.isin(single)))
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     named = [F.struct(F.lit(f).alias("family"), F.array(*[F.lit(w) for w in dict.fromkeys(tokens(t))]).alias("t")) for f, ts in TEMPLATES.items() for t in ts]
-    alike = F.transform(F.array(*named), lambda n: F.struct(n["family"].alias("family"), (F.size(F.array_intersect("words", n["t"])) / F.size(n["t"])).alias("share")))
+    alike = F.transform(F.array(*named), lambda n: F.named_struct(F.lit("family"), n["family"], F.lit("share"), F.size(F.array_intersect("words", n["t"])) / F.size(n["t"])))
     near = F.transform(F.filter(alike, lambda n: n["share"] >= CONFIRM), lambda n: n["family"])
     hits = parts.select("doc_id", "text_hash", "paragraph", near.alias("near"), F.explode(F.array_distinct(F.concat("words", pairs))).alias("g")).where(F.size("near") > 0)
     scored = hits.join(F.broadcast(known), "g").groupBy("doc_id", "text_hash", "paragraph").agg(F.first("near").alias("near"), *[F.sum(F.col("w")[k]).alias(f"_z{k}") for k in range(len(classes))])

@@ -32,7 +32,7 @@ def _digits(s: Column) -> Column:
 
 
 def _card_ok(s: Column) -> Column:
-    return F.length(_digits(s)).between(12, 19) & F.luhn_check(F.when(F.length(s) <= 64, _digits(s)).otherwise(F.lit("1")))
+    return F.length(_digits(s)).between(12, 19) & F.call_function("luhn_check", F.when(F.length(s) <= 64, _digits(s)).otherwise(F.lit("1")))
 
 
 BASE = (
@@ -64,7 +64,7 @@ def features(g: Column, s: Column, before: Column, after: Column) -> list[Column
         F.length(F.regexp_replace(s, r"[^ ./-]", "")),
         F.size(F.array_distinct(F.split(d, ""))),
         one(s.contains("(")),
-        one(F.coalesce(F.luhn_check(F.when(d != "", d)), F.lit(False))),
+        one(F.coalesce(F.call_function("luhn_check", F.when(d != "", d)), F.lit(False))),
         one(low.rlike(r"phone|tel|call|mobil|cell|fax|whats|ring")),
         one(low.rlike(r"card|visa|credit|account|iban|ssn|social|passport|tax|identi")),
         one(low.rlike(r"order|invoice|version|isbn|page|ref|qty|price|article|item|model|build|\bno\b|total|chapter")),
