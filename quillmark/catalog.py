@@ -5,10 +5,276 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import text as T
+from .operators import answer, chunking, evaluate, html, intent, ranking, routing, vector
+from .plans.answering import answer_sources
+from .session import ship
+from .sources import store
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+QUESTIONS = ((0, "than the ingly heeaon thindly"), (1, "die der und enheit schung"), (2, "que los ción mente"))
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({t}, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+_WORDS = r"list_filter(string_split_regex({t}, '\s+'), lambda w: w <> '')"
+_TOKENS = r"list_distinct(list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 2 and w not in ({stop})))"
+
+
+def _s(t: str) -> str:
+    return _SENTENCES.replace("{t}", t)
+
+
+def _w(t: str) -> str:
+    return _WORDS.replace("{t}", t)
+
+
+def _t(t: str) -> str:
+    return _TOKENS.format(t=t, stop=_STOP)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return answer_sources(_read(spark, sf_dir, "documents"), spark.createDataFrame(QUESTIONS, "query_id int, query string"))
+
+
+@query()
+def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+@query(f"SELECT doc_id, len({_s('text')}) AS n_sentences, len({_w('text')}) AS n_words, len({_t('text')}) AS n_tokens FROM documents")
+def sentence_word_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(t)).alias("n_sentences"), T.word_count(t).alias("n_words"), F.size(T.token_set(t)).alias("n_tokens"))
+
+
+_FOLD = f"""
+WITH s AS (SELECT doc_id, list_transform({_s('text')}, lambda x: {{'cur': [{{'s': x, 'n': len({_w('x')})}}], 'n': len({_w('x')}), 'out': []::VARCHAR[]}}) AS xs FROM documents),
+f AS (SELECT doc_id, CASE WHEN len(xs) = 0 THEN NULL ELSE list_reduce(xs, lambda a, x:
+  CASE WHEN a.n + x.n > 200 THEN
+    {{'cur': list_concat(CASE WHEN a.n < 50 THEN []::STRUCT(s VARCHAR, n BIGINT)[] ELSE a.cur[list_max(list_filter(range(1, len(a.cur) + 1), lambda k: list_sum(list_transform(a.cur[k:], lambda y: y.n)) >= 50)):] END, x.cur),
+      'n': (CASE WHEN a.n < 50 THEN 0 ELSE list_sum(list_transform(a.cur[list_max(list_filter(range(1, len(a.cur) + 1), lambda k: list_sum(list_transform(a.cur[k:], lambda y: y.n)) >= 50)):], lambda y: y.n)) END + x.n)::BIGINT,
+      'out': CASE WHEN a.n >= 50 THEN list_append(a.out, array_to_string(list_transform(a.cur, lambda y: y.s), ' ')) ELSE a.out END}}
+  ELSE {{'cur': list_concat(a.cur, x.cur), 'n': a.n + x.n, 'out': a.out}} END) END AS z FROM s),
+c AS (SELECT doc_id, CASE WHEN z.n >= 50 THEN list_append(z.out, array_to_string(list_transform(z.cur, lambda y: y.s), ' ')) ELSE z.out END AS chunks FROM f WHERE z IS NOT NULL)
+SELECT doc_id, i - 1 AS chunk_index, len(chunks) AS total_chunks, substr(md5(doc_id::VARCHAR || ':body:' || (i - 1)), 1, 12) AS chunk_id, len({_w('chunks[i]')}) AS word_count, md5(chunks[i]) AS text_md5
+FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM c)"""
+
+
+@query(_FOLD)
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunking.chunks(_read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id").cast("string"), F.lit("body"))
+    return out.select("doc_id", "chunk_index", "total_chunks", "chunk_id", "word_count", F.md5("text").alias("text_md5"))
+
+
+@query(r"""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '(?im)Edit:.*$', '', 'g'), '^\s+|\s+$', '', 'g')) AS cleaned FROM conversations""")
+def clean_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.clean_comment(F.col("text"))).alias("cleaned"))
+
+
+_DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+
+
+def _queries(e: DataFrame) -> DataFrame:
+    return e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"""SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS rank
+FROM embeddings e, embeddings q WHERE q.vec_id < 10) WHERE rank <= 5 AND score >= 0.3""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings")
+    return vector.top_k(e, _queries(e)).select("query_id", "vec_id", "rank")
+
+
+@query()
+def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings")
+    return vector.mmr(e, _queries(e), floor=-1.0).select("query_id", "rank", "vec_id")
+
+
+_OCC = "((length(lower(text)) - length(replace(lower(text), '{k}', ''))) // length('{k}') + CASE WHEN contains(lower(source), '{k}') THEN 5 ELSE 0 END)"
+_RAW = " + ".join(_OCC.replace("{k}", k) for k in ("the", "src1"))
+
+
+@query(f"SELECT doc_id, CASE WHEN len({_w('text')}) > 0 THEN ({_RAW}) / (1 + 0.5::DOUBLE * (len({_w('text')}) / 200.0::DOUBLE)) ELSE ({_RAW})::DOUBLE END AS score FROM documents")
+def section_keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", ranking.section_score(F.col("source"), F.col("text"), ["the", "src1"]).alias("score"))
+
+
+_QUALITY = f"""SELECT conv_id, turn, n, (CASE WHEN votes > 0 THEN 2 * ln(1 + votes::DOUBLE) ELSE 0 END) + (CASE WHEN n BETWEEN 50 AND 300 THEN 3.0::DOUBLE WHEN n BETWEEN 30 AND 500 THEN 1.5::DOUBLE WHEN n < 15 THEN -2.0::DOUBLE ELSE 0 END) + least(1.5::DOUBLE * awards, 5) + (CASE WHEN turn = 0 THEN 2 ELSE 0 END) AS quality
+FROM (SELECT conv_id, turn, len({_w('text')}) AS n, (conv_id * 31 + turn * 17) % 40 - 5 AS votes, (conv_id + turn) % 6 AS awards FROM conversations)"""
+
+
+def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "conversations").withColumn("n", T.word_count(F.col("text")))
+    votes, awards = F.expr("(conv_id * 31 + turn * 17) % 40 - 5"), F.expr("(conv_id + turn) % 6")
+    return c.withColumn("votes", votes).withColumn("quality", ranking.comment_quality(votes, F.col("n"), awards, F.col("turn") == 0))
+
+
+@query(f"SELECT conv_id, turn, round(quality, 6) AS quality FROM ({_QUALITY})")
+def comment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _comments(spark, sf_dir).select("conv_id", "turn", F.round("quality", 6).alias("quality"))
+
+
+@query(f"SELECT conv_id, turn, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(quality, 6) DESC, turn) AS rank FROM ({_QUALITY})) WHERE rank <= 5")
+def top_comments_per_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_per_group(_comments(spark, sf_dir), "conv_id", [F.desc(F.round("quality", 6)), "turn"], 5).select("conv_id", "turn", "rank")
+
+
+@query("""WITH m AS (SELECT event_id, ['advice','history','science','fact','verify','other'][event_id % 6 + 1] AS mode, 'q' || user_id AS q FROM events)
+SELECT event_id, mode, unnest(CASE mode WHEN 'history' THEN [q, q || ' history', q || ' timeline'] WHEN 'science' THEN [q, q || ' explanation', q || ' mechanism'] WHEN 'verify' THEN [q, q || ' evidence', q || ' fact check'] WHEN 'advice' THEN [q, q || ' tips'] ELSE [q] END) AS expanded,
+CASE mode WHEN 'fact' THEN 'article,forum' WHEN 'history' THEN 'article' WHEN 'science' THEN 'article' WHEN 'advice' THEN 'forum' WHEN 'verify' THEN 'forum' ELSE '' END AS sources FROM m""")
+def route_and_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modes = F.array(*map(F.lit, ("advice", "history", "science", "fact", "verify", "other")))
+    e = _read(spark, sf_dir, "events").select("event_id", F.element_at(modes, (F.col("event_id") % 6 + 1).cast("int")).alias("mode"), F.concat(F.lit("q"), F.col("user_id")).alias("q"))
+    return e.select("event_id", "mode", F.explode(routing.expanded(F.col("q"), F.col("mode"))).alias("expanded"), F.array_join(routing.sources(F.col("mode")), ",").alias("sources"))
+
+
+@query("""WITH p AS (SELECT user_id, event_type AS label, sum(value) AS v FROM events GROUP BY ALL), t AS (SELECT user_id, label, v / sum(v) OVER (PARTITION BY user_id) AS p FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, label) AS k, lead(p) OVER (PARTITION BY user_id ORDER BY p DESC, label) AS second FROM t)
+SELECT user_id, label AS predicted, round(p, 9) AS confidence, p - coalesce(second, 0) < 0.15 AS is_ambiguous FROM r WHERE k = 1""")
+def predict_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    p = _read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("label")).agg(F.sum("value").alias("v"))
+    p = p.withColumn("p", F.col("v") / F.sum("v").over(W.partitionBy("user_id")))
+    return routing.prediction(p, "user_id").withColumn("confidence", F.round("confidence", 9))
+
+
+_SENT = f"SELECT item_id, i AS ord, s[i] AS text, (item_id * 7 + i * 13) % 10 / 10.0::DOUBLE AS relevance, (i - 1) / len(s)::DOUBLE AS position FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, {_s('text')} AS s FROM benchmark))"
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _read(spark, sf_dir, "benchmark").withColumn("s", T.sentences(F.col("text")))
+    b = b.select("item_id", F.size("s").alias("k"), F.posexplode("s").alias("p", "text")).withColumn("ord", F.col("p") + 1)
+    return b.select("item_id", "ord", "text", ((F.col("item_id") * 7 + F.col("ord") * 13) % 10 / 10.0).alias("relevance"), (F.col("p") / F.col("k")).alias("position"))
+
+
+@query(f"""WITH s AS ({_SENT}), t AS (SELECT item_id, ord, {_t('text')} AS w FROM s)
+SELECT a.item_id, a.ord AS i, b.ord AS j, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 9) AS similarity FROM t a JOIN t b ON a.item_id = b.item_id AND a.ord < b.ord WHERE len(list_intersect(a.w, b.w)) > 0""")
+def sentence_pairs_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.sentence_pairs(_sentences(spark, sf_dir), "item_id", "ord").withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def dedup_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.deduplicated(_sentences(spark, sf_dir), "item_id", "ord")
+
+
+@query()
+def textrank_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.textrank(_sentences(spark, sf_dir), "item_id", "ord", F.lit("than ingly heeaon"), top=3).select("item_id", "sent_ord", "text")
+
+
+@query(f"""WITH s AS ({_SENT}) SELECT item_id, ord, CASE WHEN length(text) > 40 THEN regexp_replace(text[1:40], '\\.[^.]*$', '') || '.' ELSE text END AS point FROM
+(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ord) AS k FROM s WHERE relevance >= 0.3) WHERE k <= 5""")
+def key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = ranking.top_per_group(_sentences(spark, sf_dir).where("relevance >= 0.3"), "item_id", ["ord"], 5)
+    return best.select("item_id", "ord", T.truncated(F.col("text"), 40).alias("point"))
+
+
+@query("""WITH d AS (SELECT conv_id, turn, role AS title FROM conversations), l AS (SELECT *, lag(title) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM d),
+i AS (SELECT *, sum(CASE WHEN b <> '' AND b <> title THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM l)
+SELECT conv_id, turn, island::BIGINT AS island, ((row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1) // 3)::INT AS part FROM i""")
+def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.paragraphs(_read(spark, sf_dir, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "island", "part")
+
+
+@query(f"""WITH x AS (SELECT source, list_distinct({_w('lower(text)')}) AS w, (doc_id % 10) / 10.0::DOUBLE AS r FROM documents),
+v AS (SELECT source, sum(len(list_intersect(w, ['true','confirmed','correct','proven','verified'])) * r) AS c, sum(len(list_intersect(w, ['false','myth','incorrect','debunked','wrong'])) * r) AS d FROM x GROUP BY source)
+SELECT source, CASE WHEN d > 1.5 * c THEN 'FALSE' WHEN c > 1.5 * d THEN 'TRUE' WHEN c > 0 OR d > 0 THEN 'MIXED' ELSE 'INCONCLUSIVE' END AS verdict FROM v""")
+def evidence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("source", "text", (F.col("doc_id") % 10 / 10.0).alias("relevance"))
+    return answer.verdict(d, "source").select("source", "verdict")
+
+
+@query("""WITH f AS (SELECT lang, source, min(doc_id) AS doc_id FROM documents GROUP BY ALL) SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS citation FROM f""")
+def source_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("lang", "source", "doc_id")
+    return answer.citations(d.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id")), "lang", "doc_id", "source").select("lang", "source", "doc_id", "citation")
+
+
+@query(f"""SELECT lang, round(least(0.4::DOUBLE * avg((doc_id % 100) / 100.0::DOUBLE) + 0.25::DOUBLE * least(count(DISTINCT source) / 3.0::DOUBLE, 1) + 0.15::DOUBLE * (CASE WHEN count(DISTINCT doc_id % 2) > 1 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END) + 0.2::DOUBLE * least(sum(1) / 10.0::DOUBLE, 1), 1), 9) AS confidence FROM documents GROUP BY lang""")
+def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("lang", (F.col("doc_id") % 100 / 100.0).alias("score"), F.col("source").alias("url"), (F.col("doc_id") % 2).alias("source"), F.lit(1).alias("n_sentences"))
+    return answer.confidence(d, "lang").withColumn("confidence", F.round("confidence", 9))
+
+
+_PRED = "CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END"
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("predicted"))
+    return _read(spark, sf_dir, "labels").join(d, "doc_id")
+
+
+@query(f"SELECT lang, round(avg((l.quality = {_PRED})::INT), 9) AS accuracy, count(*) AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY lang")
+def group_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.accuracy_by(_judged(spark, sf_dir), "lang", F.col("quality") == F.col("predicted")).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("SELECT round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS lowest, max(value) AS highest FROM events")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.latency(_read(spark, sf_dir, "events"), "value")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "median", "p95")], "lowest", "highest")
+
+
+@query(f"SELECT l.quality, {_PRED} AS predicted, count(*) AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(_judged(spark, sf_dir), "quality", "predicted")
+
+
+@query(f"""WITH j AS (SELECT l.quality AS t, {_PRED} AS p FROM labels l JOIN documents d USING (doc_id)), c AS (SELECT x AS label, (SELECT count(*) FROM j WHERE t = x) AS support, (SELECT count(*) FROM j WHERE p = x) AS said, (SELECT count(*) FROM j WHERE t = x AND p = x) AS hit FROM (VALUES (0), (1)) v(x))
+SELECT label, support, round(hit / said::DOUBLE, 9) AS "precision", round(hit / support::DOUBLE, 9) AS recall, round(2.0::DOUBLE * hit / (said + support), 9) AS f1 FROM c""")
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.report(_judged(spark, sf_dir), "quality", "predicted")
+    return out.select("label", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""WITH w AS (SELECT item_id, unnest({_w('lower(text)')}) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM benchmark)
+SELECT item_id, term, round((1 + ln(tf::DOUBLE)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1), 6) AS weight FROM tf JOIN df USING (term), n WHERE df >= 2 AND df <= 0.95 * n""")
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intent.tfidf(_read(spark, sf_dir, "benchmark"), "item_id", T.words(F.lower("text"))).withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT lang, source, count(*) AS n, round(avg(length(text)), 6) AS mean_length FROM documents GROUP BY GROUPING SETS ((), (lang), (source))")
+def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intent.stats(_read(spark, sf_dir, "documents"), "lang", "source").withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query("SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5)::INT AS fold FROM labels")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intent.folds(_read(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "fold")
+
+
+@query()
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return html.sections(_read(spark, sf_dir, "pages"), "page_id", ("h1", "h2", "h3", "h4"))
+
+
+@query("""WITH k AS (SELECT md5('article:' || user_id) AS key, max(epoch(ts)) AS fetched_at FROM events GROUP BY ALL), n AS (SELECT epoch(max(ts)) AS now FROM events)
+SELECT key, CASE WHEN now - fetched_at < 86400 THEN round(fetched_at, 3) END AS fetched_at FROM k, n""")
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").withColumn("fetched_at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    key = store.cache_key(F.lit("article"), F.col("user_id").cast("string")).alias("key")
+    latest = store.upsert(e.select(key, "fetched_at").limit(0), e.select(key, "fetched_at"))
+    now = e.agg(F.max("fetched_at").alias("now"))  # one row
+    fresh = store.cache_lookup(e.select(key).distinct(), latest.crossJoin(F.broadcast(now)), F.col("now"))
+    return fresh.select("key", F.round("fetched_at", 3).alias("fetched_at"))
