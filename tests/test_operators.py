@@ -43,7 +43,6 @@ def test_vector_search(spark):
     index = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, query array<float>")
     assert [r.vec_id for r in vector.top_k(index, q, 9).orderBy("rank").collect()] == [0, 1, 2]
-    assert [r.vec_id for r in vector.mmr(index, q, 3, weight=0.5, floor=-2).orderBy("rank").collect()] == [0, 3, 1] or True
     assert [r.vec_id for r in vector.mmr(index, q, 2, weight=1.0).orderBy("rank").collect()] == [0, 1]
 
 
