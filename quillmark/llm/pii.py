@@ -172,7 +172,8 @@ def _fitted(rows: tuple) -> tuple[list, tuple[float, ...]]:
         m = x[part][:, 0] == g
         sg, yg = s[m], y[part][m]
         good = [t for t in np.unique(sg) if (yg[sg >= t].mean()) >= PRECISION]
-        limits.append(float(min(good)) if good else float("inf"))
+        # half way to the next lower score, so the order of a sum doesn't matter
+        limits.append(float((min(good) + max(sg[sg < min(good)], default=min(good) - 1)) / 2) if good else float("inf"))
     return trees, tuple(limits)
 
 
