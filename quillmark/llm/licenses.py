@@ -3,8 +3,9 @@
 Paragraphs (lines) are bags of word 1- and 2-grams; a multinomial logistic regression over the n-grams of its templates
 gives licence families and an unknown class, and its probabilities are calibrated by a temperature fitted on held-out
 examples.  A family is reported where the classifier is sure enough and a template of that family confirms it by word
-containment.  The vocabulary has no function words, so a paragraph without a vocabulary word has the unknown class's
-score and is skipped, which changes no result.  The weights, a table bounded by the vocabulary, are broadcast.
+containment.  A paragraph that holds a share of a template's words holds one of any ``n - needed + 1`` of them, so one
+expression over such words leaves out paragraphs that nothing can confirm, and no result changes.  The weights, a table
+bounded by the vocabulary, are broadcast.
 """
 
 from __future__ import annotations
@@ -99,22 +100,43 @@ def fitted() -> tuple[list[str], dict[str, list[float]], list[float], float]:
     return classes, {g: [float(v) for v in w[i]] for g, i in vocab.items()}, [float(v) for v in b], min(loss, key=loss.get)
 
 
+def needed(template: str) -> int:
+    """The least number of a template's distinct words that confirms it."""
+    n = len(set(tokens(template)))
+    return next(k for k in range(1, n + 1) if k / n >= CONFIRM)
+
+
+def mandatory() -> list[str]:
+    """Words of which every paragraph that a template confirms holds at least one: of each template its longest."""
+    out = set()
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        own = sorted(set(tokens(t)), key=lambda w: (w in STOP, -len(w), w))
+        out.update(own[: len(own) - needed(t) + 1])
+    return sorted(out)
+
+
 def paragraph_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, paragraph, family, probability) for each paragraph with a confirmed family."""
     classes, weights, bias, temperature = fitted()
-    single = sorted({w for g in weights for w in g.split()} - STOP)
+    some = "(?<![a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in mandatory()) + ")"
     table = F.from_json(F.lit(json.dumps([{"g": g, "w": w} for g, w in weights.items()])), "array<struct<g:string,w:array<double>>>")
     spark = docs.sparkSession
     known = spark.range(1).select(F.explode(table).alias("e")).select("e.g", "e.w")  # a row an n-gram of the vocabulary
     text = F.col("text").cast("string")
-    parts = docs.where(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.lower(text), "\n")).alias("paragraph", "p"))
+    low = F.lower(text)
+    parts = docs.where(low.rlike(some)).select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(low, "\n")).alias("paragraph", "p")).where(F.col("p").rlike(some))
+    # what explode() returns is a column that later filters don't compute again
     words = F.filter(F.split("p", TOKEN_SPLIT), lambda w: w != "")
-    parts = parts.select("doc_id", "text_hash", "paragraph", words.alias("words")).where(F.exists("words", lambda w: w.isin(single)))
+    parts = parts.select("doc_id", "text_hash", "paragraph", F.explode(F.array(words)).alias("words"))
+    fewest = min(needed(t) for ts in TEMPLATES.values() for t in ts)
+    listed = F.array(*[F.lit(w) for w in sorted({w for ts in TEMPLATES.values() for t in ts for w in tokens(t)})])
+    parts = parts.select("*", F.explode(F.array(F.array_intersect("words", listed))).alias("own")).where(F.size("own") >= fewest)
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     named = [F.struct(F.lit(f).alias("family"), F.array(*[F.lit(w) for w in dict.fromkeys(tokens(t))]).alias("t")) for f, ts in TEMPLATES.items() for t in ts]
-    alike = F.transform(F.array(*named), lambda n: F.named_struct(F.lit("family"), n["family"], F.lit("share"), F.size(F.array_intersect("words", n["t"])) / F.size(n["t"])))
+    alike = F.transform(F.array(*named), lambda n: F.named_struct(F.lit("family"), n["family"], F.lit("share"), F.size(F.array_intersect("own", n["t"])) / F.size(n["t"])))
     near = F.transform(F.filter(alike, lambda n: n["share"] >= CONFIRM), lambda n: n["family"])
-    hits = parts.select("doc_id", "text_hash", "paragraph", near.alias("near"), F.explode(F.array_distinct(F.concat("words", pairs))).alias("g")).where(F.size("near") > 0)
+    parts = parts.select("doc_id", "text_hash", "paragraph", "words", F.explode(F.array(near)).alias("near")).where(F.size("near") > 0)
+    hits = parts.select("doc_id", "text_hash", "paragraph", "near", F.explode(F.array_distinct(F.concat("words", pairs))).alias("g"))
     scored = hits.join(F.broadcast(known), "g").groupBy("doc_id", "text_hash", "paragraph").agg(F.first("near").alias("near"), *[F.sum(F.col("w")[k]).alias(f"_z{k}") for k in range(len(classes))])
     z = F.array(*[F.struct(((F.col(f"_z{k}") + F.lit(bias[k])) / F.lit(temperature)).alias("z"), F.lit(c).alias("family")) for k, c in enumerate(classes)])
     scored = scored.select("doc_id", "text_hash", "paragraph", "near", z.alias("z")).withColumn("top", F.array_max("z"))
