@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import answer, chunking, evaluate, html, intent, ranking, routing, vector
+from .operators import answer, chunking, dataset, evaluate, html, intent, ranking, routing, vector
 from .plans.answering import answer_sources
 from .session import ship
 from .sources import store
@@ -263,6 +263,40 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.folds(_read(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "fold")
 
 
+TEMPLATES = (
+    (0, "advice", "Is {concept_a} or {concept_b} the better choice for a {role}?"),
+    (1, "history", "Which ruler saw {era} end, and when did {era} begin?"),
+    (2, "fact", "Where is {place}?"),
+    (3, "science", "No slot here"),
+    (4, "verify", "Is it so that {unknown_slot} differs from {option_a}"),
+)
+SLOTS = {"concept": ["rent", "debt", "tides"], "role": ["nurse", "baker"], "era": ["the ice age", "the bronze age", "the gold rush"], "place": ["Malta", "Chad"], "option_a": ["rye", "oats"]}
+_DRAW = "('0x' || substr(md5(concat_ws(':', 42, '{what}', {key})), 1, 8))::BIGINT"
+
+
+def _draw(what: str, key: str) -> str:
+    return _DRAW.format(what=what, key=key)
+
+
+@query(f"""WITH RECURSIVE t(template_id, label, template) AS (VALUES {", ".join(str(t) for t in TEMPLATES)}), v(slot, options) AS (VALUES {", ".join(str(x) for x in SLOTS.items())}),
+r AS (SELECT *, regexp_extract_all(template, '\\{{(\\w+)\\}}', 1) AS names, unnest(range(15)) AS copy FROM t),
+f AS (SELECT template_id, label, copy, names, 0 AS i, template AS rest, '' AS text FROM r
+UNION ALL SELECT template_id, label, copy, names, i + 1, substr(rest, strpos(rest, '}}') + 1), text || substr(rest, 1, strpos(rest, '{{') - 1) || coalesce((SELECT options[1 + {_draw("slot", "template_id, copy, i")} % len(options)] FROM v WHERE slot = CASE WHEN regexp_replace(names[i + 1], '[_abcdefg]+$', '') IN (SELECT slot FROM v) THEN regexp_replace(names[i + 1], '[_abcdefg]+$', '') ELSE names[i + 1] END), '{{' || names[i + 1] || '}}') FROM f WHERE i < len(names))
+SELECT template_id, copy::INT AS copy, text || rest AS text, label, 'template' AS source, 1.0::DOUBLE AS confidence FROM f WHERE i = len(names)""")
+def fill_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.fill(spark.createDataFrame(TEMPLATES, "template_id int, label string, template string"), SLOTS, 15)
+
+
+@query(f"""WITH b AS (SELECT item_id, text, {_w("text")} AS w, {_draw("kind", "item_id")} % 3 AS kind, 1 + {_draw("at", "item_id")} % greatest(length(text) - 2, 1) AS pos FROM benchmark)
+SELECT item_id, text, 'bench' AS label, 'template' AS source, 1.0::DOUBLE AS confidence FROM b
+UNION ALL SELECT item_id, CASE WHEN kind = 0 AND length(text) > 3 THEN substr(text, 1, pos) || substr(text, pos + 2, 1) || substr(text, pos + 1, 1) || substr(text, pos + 3)
+WHEN kind = 1 THEN CASE WHEN {_draw("case", "item_id")} % 2 = 0 THEN lower(text) ELSE upper(text) END
+WHEN kind = 2 AND len(w) > 3 THEN array_to_string(list_filter(w, lambda x, i: i <> 2 + {_draw("word", "item_id")} % greatest(len(w) - 1, 1)), ' ') ELSE text END, 'bench', 'augmented', 0.9::DOUBLE FROM b WHERE {_draw("keep", "item_id")} <= 0.3 * 4294967296""")
+def augment_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _read(spark, sf_dir, "benchmark").select("item_id", "text", F.lit("bench").alias("label"), F.lit("template").alias("source"), F.lit(1.0).alias("confidence"))
+    return dataset.augment(b, "item_id")
+
+
 @query()
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)

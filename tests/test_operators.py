@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import answer, chunking, html, intent, ranking, routing, vector
+from quillmark.operators import answer, chunking, dataset, html, intent, ranking, routing, vector
 from quillmark.sources import store
 from quillmark.streaming.feedback import helpfulness
 
@@ -106,3 +106,28 @@ def test_training(spark):
     m = intent.training_pipeline(2, 10).fit(df)
     assert m.transform(df).where("prediction = target").count() == 12
     assert one(spark, intent.soft_vote([F.array(F.lit(1.0)), F.array(F.lit(0.0)), F.array(F.lit(0.0))], [2, 1, 1])) == [0.5]
+
+
+def test_fill_templates(spark):
+    t = spark.createDataFrame([(1, "a", "{x_a} and {x_b}, {place} {none}"), (2, "b", None), (3, "b", "")], "template_id int, label string, template string")
+    got = [(r.template_id, r.text) for r in dataset.fill(t, {"x": ["p", "q"], "place": ["Rome"]}, 40).collect()]
+    assert {x for i, x in got if i == 1} == {f"{a} and {b}, Rome {{none}}" for a in "pq" for b in "pq"}
+    assert [x for i, x in got if i > 1] == [None] * 40 + [""] * 40
+
+
+def test_noise(spark):
+    assert one(spark, dataset.swapped(F.lit("abcd"), F.lit(2))) == "abdc"
+    assert one(spark, dataset.swapped(F.lit("abcd"), F.lit(1))) == "acbd"
+    e = spark.range(600).selectExpr("id", "'Some four words Here' as text", "'l' as label", "'template' as source", "1.0D as confidence")
+    rows = dataset.augment(e, "id").where("source = 'augmented'").collect()
+    assert 130 < len(rows) < 230 and {r.confidence for r in rows} == {0.9}
+    texts = {r.text for r in rows}
+    assert {"some four words here", "SOME FOUR WORDS HERE", "Some words Here", "Some four Here", "Some four words"} <= texts
+    assert all(t[0] in "Ss" and sorted(t.lower()) == sorted("some four words here") for t in texts if len(t) == 20)
+    short = spark.createDataFrame([(i, t) for i in range(30) for t in ("", "ab", None)], "id int, text string").select("id", "text", dataset.noisy(F.col("text"), F.col("id")).alias("x"))
+    assert all((r.x or "").lower() == (r.text or "") for r in short.collect())
+
+
+def test_append_manual(spark):
+    e = spark.createDataFrame([], dataset.EXAMPLE)
+    assert [tuple(r) for r in dataset.append_manual(e, [("q", "fact")]).collect()] == [("q", "fact", "manual", 1.0)]
