@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import answer, chunking, dataset, evaluate, html, intent, ranking, routing, vector
+from .operators import answer, chunking, dataset, evaluate, forum, html, intent, ranking, routing, vector
 from .plans.answering import answer_sources
 from .session import ship
 from .sources import store
@@ -35,6 +35,10 @@ def _t(t: str) -> str:
     return _TOKENS.format(t=t, stop=_STOP)
 
 
+def _list(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -197,7 +201,7 @@ def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH x AS (SELECT source, list_distinct({_w('lower(text)')}) AS w, (doc_id % 10) / 10.0::DOUBLE AS r FROM documents),
-v AS (SELECT source, sum(len(list_intersect(w, ['true','confirmed','correct','proven','verified'])) * r) AS c, sum(len(list_intersect(w, ['false','myth','incorrect','debunked','wrong'])) * r) AS d FROM x GROUP BY source)
+v AS (SELECT source, sum(len(list_intersect(w, {_list(answer.CONFIRM)})) * r) AS c, sum(len(list_intersect(w, {_list(answer.DENY)})) * r) AS d FROM x GROUP BY source)
 SELECT source, CASE WHEN d > 1.5 * c THEN 'FALSE' WHEN c > 1.5 * d THEN 'TRUE' WHEN c > 0 OR d > 0 THEN 'MIXED' ELSE 'INCONCLUSIVE' END AS verdict FROM v""")
 def evidence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("source", "text", (F.col("doc_id") % 10 / 10.0).alias("relevance"))
@@ -210,10 +214,10 @@ def source_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.citations(d.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id")), "lang", "doc_id", "source").select("lang", "source", "doc_id", "citation")
 
 
-@query(f"""SELECT lang, round(least(0.4::DOUBLE * avg((doc_id % 100) / 100.0::DOUBLE) + 0.25::DOUBLE * least(count(DISTINCT source) / 3.0::DOUBLE, 1) + 0.15::DOUBLE * (CASE WHEN count(DISTINCT doc_id % 2) > 1 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END) + 0.2::DOUBLE * least(sum(1) / 10.0::DOUBLE, 1), 1), 9) AS confidence FROM documents GROUP BY lang""")
+@query(f"""SELECT lang, round(least(0.4::DOUBLE * avg((doc_id % 100) / 100.0::DOUBLE) + 0.25::DOUBLE * least(count(DISTINCT source) / 3.0::DOUBLE, 1) + 0.15::DOUBLE * (CASE WHEN count(DISTINCT doc_id % 2) > 1 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END) + 0.2::DOUBLE * least(sum(1) / 10.0::DOUBLE, 1), 1), 3) AS confidence FROM documents GROUP BY lang""")
 def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("lang", (F.col("doc_id") % 100 / 100.0).alias("score"), F.col("source").alias("url"), (F.col("doc_id") % 2).alias("source"), F.lit(1).alias("n_sentences"))
-    return answer.confidence(d, "lang").withColumn("confidence", F.round("confidence", 9))
+    return answer.confidence(d, "lang")
 
 
 _PRED = "CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END"
@@ -263,6 +267,45 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.folds(_read(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "fold")
 
 
+_ANSWER = f"""WITH c AS (SELECT conv_id, turn, role, text, ['advice','history','science','fact','verify'][conv_id % 5 + 1] AS mode FROM conversations),
+i AS (SELECT *, sum(CASE WHEN b <> '' AND b <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM c)),
+p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1) // (CASE WHEN mode = 'history' THEN 3 ELSE 4 END) AS part FROM i),
+a AS (SELECT conv_id, mode, island, part, min(turn) AS turn, string_agg(text, ' ' ORDER BY turn) AS para FROM p GROUP BY ALL),
+b AS (SELECT conv_id, mode, string_agg(para, chr(10) || chr(10) ORDER BY turn) AS body FROM a GROUP BY ALL),
+u AS (SELECT conv_id, string_agg('• ' || text, chr(10) ORDER BY turn) AS bullets, sum(len(list_intersect(w, {_list(answer.CONFIRM)})) * 0.5::DOUBLE) AS yes, sum(len(list_intersect(w, {_list(answer.DENY)})) * 0.5::DOUBLE) AS nay FROM (SELECT *, list_distinct({_w('lower(text)')}) AS w FROM c) GROUP BY ALL)
+SELECT conv_id, mode, md5(CASE mode WHEN 'verify' THEN '**Verdict: ' || CASE WHEN nay > 1.5 * yes THEN '{answer.VERDICTS["FALSE"]}' WHEN yes > 1.5 * nay THEN '{answer.VERDICTS["TRUE"]}' WHEN yes > 0 OR nay > 0 THEN '{answer.VERDICTS["MIXED"]}' ELSE '{answer.VERDICTS["INCONCLUSIVE"]}' END || '**' || chr(10) || chr(10) ELSE '' END
+|| CASE mode {" ".join(f"WHEN '{k}' THEN '" + v.replace("'", "''") + "'" for k, v in answer.INTRO.items())} ELSE '' END || CASE WHEN mode IN ('advice', 'verify') THEN chr(10) || bullets WHEN mode = 'fact' THEN body ELSE chr(10) || chr(10) || body END
+|| CASE WHEN mode IN ('advice', 'science', 'verify') THEN '{answer.NOTE}' ELSE '' END) AS answer FROM b JOIN u USING (conv_id)"""
+
+
+@query(_ANSWER)
+def formatted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modes = F.array(*map(F.lit, ("advice", "history", "science", "fact", "verify")))
+    c = _read(spark, sf_dir, "conversations").withColumns({"mode": F.element_at(modes, (F.col("conv_id") % 5 + 1).cast("int")), "relevance": F.lit(0.5)})
+    return answer.formatted(c, "conv_id", "turn", title="role").withColumn("answer", F.md5("answer"))
+
+
+@query("""WITH t AS (SELECT conv_id, count(*) AS n, arg_min(text, turn) AS title FROM conversations GROUP BY conv_id), w AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(title), '\\s+'), lambda w: w <> '')) AS w FROM t)
+SELECT conv_id, round(10 * len(list_intersect(w, ['the', 'of', 'und'])) / 3.0::DOUBLE + (CASE WHEN conv_id % 7 > 0 THEN ln(1 + (conv_id % 7)::DOUBLE) ELSE 0 END) + 0.5::DOUBLE * ln(1 + n::DOUBLE) + (CASE WHEN conv_id % 2 = 0 THEN 5 ELSE 0 END), 6) AS score FROM w""")
+def thread_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by("text", "turn").alias("title"))
+    forum_name = F.when(F.col("conv_id") % 2 == 0, "askscience").otherwise("other")
+    score = ranking.thread_relevance(F.col("title"), F.lit("The of und"), F.col("conv_id") % 7, F.col("n"), forum_name, F.lit(None).cast("double"))
+    return t.select("conv_id", F.round(score, 6).alias("score"))
+
+
+@query(f"""SELECT conv_id, turn, len({_w("text")}) AS word_count, regexp_matches(text, 'https?://') AS has_links FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 20 AND text NOT IN ('[deleted]', '[removed]')""")
+def forum_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "conversations")
+    return forum.comments(c, "conv_id", ["turn"], "text").select("conv_id", "turn", F.col("word_count").cast("long").alias("word_count"), "has_links")
+
+
+@query("SELECT doc_id, array_to_string(list_filter(['the', 'Und', 'que'], lambda k: contains(lower(text), lower(k))), ',') AS found, round(len(list_filter(['the', 'Und', 'que'], lambda k: contains(lower(text), lower(k)))) / 3.0::DOUBLE, 9) AS recall FROM documents")
+def keyword_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = evaluate.keywords(F.col("text"), F.array(F.lit("the"), F.lit("Und"), F.lit("que"))).alias("k")
+    return _read(spark, sf_dir, "documents").select("doc_id", k).select("doc_id", F.array_join("k.found", ",").alias("found"), F.round("k.recall", 9).alias("recall"))
+
+
 TEMPLATES = (
     (0, "advice", "Is {concept_a} or {concept_b} the better choice for a {role}?"),
     (1, "history", "Which ruler saw {era} end, and when did {era} begin?"),

@@ -6,11 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, token_set, word_set
-
-KEY_POINT = r"(?i)\b(important|significant|crucial|essential|because|therefore|due to|first|second|finally|research|study|evidence|conclusion|overall|in summary)\b"
-CONFIRM = ("true", "confirmed", "correct", "proven", "verified")
-DENY = ("false", "myth", "incorrect", "debunked", "wrong")
+from ..functions.text import jaccard, token_set, truncated, word_count, word_set
+from .ranking import top_per_group
+
+# Fixed values.
+CONFIRM = ("true", "correct", "accurate", "confirmed", "proven", "indeed", "actually", "verified", "supported", "evidence")
+DENY = ("false", "incorrect", "myth", "debunked", "misconception", "untrue", "no evidence", "disproven", "misleading", "wrong")
+KEY_POINTS = (
+    r"\b(main|key|important|significant|primary|major)\b",
+    r"\b(because|therefore|consequently|as a result)\b",
+    r"\b(first|second|third|finally|additionally)\b",
+    r"\b(studies show|research indicates|evidence suggests)\b",
+    r"\b(in conclusion|overall|in summary)\b",
+)
+INTRO = {
+    "advice": "Based on community discussions and expert recommendations:\n\n",
+    "history": "Here's what historical sources indicate:\n\n",
+    "science": "Here's the scientific explanation:\n\n",
+    "verify": "After examining available sources:\n\n",
+}
+BULLETS = ("advice", "verify")
+CAVEATS = ("advice", "science", "verify")
+NOTE = "\n\n*Note: This answer is synthesized from publicly available sources. For critical decisions, please consult authoritative sources or experts.*"
+NO_RESULT = "I couldn't find enough information to answer this question. Try rephrasing your query or asking something more specific."
+VERDICTS = {
+    "FALSE": "Mostly FALSE / Misleading ❌",
+    "TRUE": "Mostly TRUE ✅",
+    "MIXED": "MIXED / Partially True ⚠️",
+    "INCONCLUSIVE": "INCONCLUSIVE — Not enough evidence to determine 🤔",
+}
+FOOTER = "\n\n---\n📚 **Sources:**\n"
+ICONS = {"article": "📖", "forum": "💬"}
 
 
 def sentence_pairs(df: DataFrame, group: str, order: str, text: str = "text") -> DataFrame:
@@ -58,7 +84,7 @@ def textrank(df: DataFrame, group: str, order: str, query: Column, top: int = 10
     return ranked.where((F.col("_r") <= top) | (F.col("n") <= top)).select(group, F.col("ord").alias("sent_ord"), "text", "score")
 
 
-def paragraphs(df: DataFrame, group: str, order: str, title: str, most: int = 3) -> DataFrame:
+def paragraphs(df: DataFrame, group: str, order: str, title: str, most: int | Column = 3) -> DataFrame:
     """Paragraph numbers: a new one where a non-empty title changes or after ``most`` sentences."""
     w = W.partitionBy(group).orderBy(order)
     before = F.lag(title).over(w)
@@ -88,4 +114,58 @@ def confidence(df: DataFrame, group: str) -> DataFrame:
     """From (score, url, source, sentences): mean score, URLs, source kinds and sentences."""
     a = df.groupBy(group).agg(F.avg("score").alias("m"), F.countDistinct("url").alias("u"), F.countDistinct("source").alias("t"), F.sum("n_sentences").alias("s"))
     c = 0.4 * F.col("m") + 0.25 * F.least(F.col("u") / 3, F.lit(1.0)) + 0.15 * F.when(F.col("t") > 1, 1.0).otherwise(0.8) + 0.2 * F.least(F.col("s") / 10, F.lit(1.0))
-    return a.select(group, F.least(c, F.lit(1.0)).alias("confidence"))
+    return a.select(group, F.round(F.least(c, F.lit(1.0)), 3).alias("confidence"))
+
+
+def sentence_rows(chunks: DataFrame, sentences: Column, least: int = 5, most: int = 60) -> DataFrame:
+    """One row for each sentence of ``least`` to ``most`` words, with its place among all sentences of its chunk (0 to below 1)."""
+    rows = chunks.withColumn("_s", sentences).select("*", F.size("_s").alias("_n"), F.posexplode("_s").alias("sent_ord", "sentence")).drop("_s")
+    rows = rows.withColumn("position", F.col("sent_ord") / F.col("_n")).drop("_n")
+    return rows.where(word_count(F.col("sentence")).between(least, most))
+
+
+def key_points(df: DataFrame, group: str, order: str, patterns: tuple[str, ...] = KEY_POINTS, most: int = 5) -> DataFrame:
+    """The first ``most`` texts of a group that hold a signal word, cut to 150 characters."""
+    signal = F.col("text").rlike("(?i)" + "|".join(patterns))
+    return top_per_group(df.where(signal), group, [order], most).withColumn("point", truncated(F.trim("text")))
+
+
+def _texts(column: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("_at", column))), lambda x: x[column])
+
+
+def formatted(df: DataFrame, group: str, order: str, mode: str = "mode", title: str = "title") -> DataFrame:
+    """group, mode, answer from sentences (text, relevance, mode, title): bullets or paragraphs, by mode.
+
+    Paragraphs hold 3 sentences for history and 4 otherwise and end where the title changes; an unknown or null mode
+    is formatted like ``fact``.  A paragraph, then an answer, is put together in two small aggregations.
+    """
+    d = df.withColumn("_m", F.coalesce(F.col(mode), F.lit("fact"))).withColumn("_at", F.col(order))
+    d = paragraphs(d, group, order, title, F.when(F.col("_m") == "history", 3).otherwise(4))
+    bullet = F.col("_m").isin(*BULLETS)
+    line = d.withColumn("_line", F.when(bullet, F.concat(F.lit("• "), "text")).otherwise(F.col("text")))
+    parts = line.groupBy(group, "_m", "island", "part").agg(_texts("_line").alias("_x"), F.min("_at").alias("_at"))
+    parts = parts.withColumn("_para", F.when(bullet, F.array_join("_x", "\n")).otherwise(F.array_join("_x", " ")))
+    whole = parts.groupBy(group, "_m").agg(_texts("_para").alias("_x")).join(verdict(df, group).select(group, "verdict"), group)
+    intros = F.create_map(*[F.lit(x) for kv in INTRO.items() for x in kv])
+    words = F.create_map(*[F.lit(x) for kv in VERDICTS.items() for x in kv])
+    intro = F.coalesce(F.when(F.col("_m").isin(*INTRO), F.concat(intros[F.col("_m")], F.when(bullet, "\n").otherwise("\n\n"))), F.lit(""))
+    body = F.when(bullet, F.array_join("_x", "\n")).otherwise(F.array_join("_x", "\n\n"))
+    judged = F.when(F.col("_m") == "verify", F.concat(F.lit("**Verdict: "), words[F.col("verdict")], F.lit("**\n\n"))).otherwise("")
+    note = F.when(F.col("_m").isin(*CAVEATS), NOTE).otherwise("")
+    return whole.select(group, F.col("_m").alias("mode"), F.concat(judged, intro, body, note).alias("answer"))
+
+
+def footer(cited: DataFrame, group: str) -> DataFrame:
+    """group, footer: the sources (citation, title, url, source) of a group in order of their numbers."""
+    icon = F.when(F.col("source") == "article", ICONS["article"]).otherwise(ICONS["forum"])
+    line = F.format_string("  [%d] %s %s\n      %s\n", F.col("citation").cast("int"), icon, F.col("title"), F.col("url"))
+    rows = cited.select(group, F.col("citation").alias("_at"), line.alias("_line"))
+    return rows.groupBy(group).agg(F.concat(F.lit(FOOTER), F.array_join(_texts("_line"), "")).alias("footer"))
+
+
+def complete(queries: DataFrame, answers: DataFrame, footers: DataFrame, group: str) -> DataFrame:
+    """An answer for each of ``queries``: its text and sources, or the no-result text with confidence 0."""
+    out = queries.join(answers, group, "left").join(footers, group, "left")
+    text = F.when(F.col("answer").isNull(), NO_RESULT).otherwise(F.concat("answer", F.coalesce("footer", F.lit(""))))
+    return out.select(*queries.columns, text.alias("answer"), F.when(F.col("answer").isNull(), 0.0).otherwise(F.col("confidence")).alias("confidence"))

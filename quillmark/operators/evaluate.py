@@ -27,3 +27,27 @@ def report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     s = s.withColumn("precision", safe(F.col("hit"), F.col("said"))).withColumn("recall", safe(F.col("hit"), F.col("support")))
     return s.select("label", "support", "precision", "recall", safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"))
+
+
+def keywords(answer: Column, wanted: Column) -> Column:
+    """found, missing and recall of an array of keywords, as substrings in any case; recall 0 where none is wanted."""
+    inside = lambda k: F.contains(F.lower(answer), F.lower(k))
+    found, missing = F.filter(wanted, inside), F.filter(wanted, lambda k: ~inside(k))
+    recall = F.when(F.size(wanted) > 0, F.size(found) / F.size(wanted)).otherwise(0.0)
+    return F.struct(found.alias("found"), missing.alias("missing"), recall.alias("recall"))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """One row of means over results (mode_correct, keyword_recall, confidence, latency_ms, answer_length, num_sources, has_citations)."""
+    share = lambda c: F.avg(F.col(c).cast("int"))
+    return results.agg(
+        F.count("*").alias("total_cases"),
+        share("mode_correct").alias("intent_accuracy"),
+        F.avg("keyword_recall").alias("avg_keyword_recall"),
+        F.avg("confidence").alias("avg_confidence"),
+        F.avg("latency_ms").alias("avg_latency_ms"),
+        F.percentile("latency_ms", 0.95).alias("p95_latency_ms"),
+        F.avg("answer_length").alias("avg_answer_length"),
+        F.avg("num_sources").alias("avg_sources_per_answer"),
+        share("has_citations").alias("pct_with_citations"),
+    )

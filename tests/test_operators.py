@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import answer, chunking, dataset, html, intent, ranking, routing, vector
+from quillmark.operators import answer, chunking, dataset, evaluate, forum, html, intent, ranking, routing, vector
 from quillmark.sources import store
 from quillmark.streaming.feedback import helpfulness
 
@@ -131,3 +131,37 @@ def test_noise(spark):
 def test_append_manual(spark):
     e = spark.createDataFrame([], dataset.EXAMPLE)
     assert [tuple(r) for r in dataset.append_manual(e, [("q", "fact")]).collect()] == [("q", "fact", "manual", 1.0)]
+
+
+def test_key_points(spark):
+    d = spark.createDataFrame([(1, i, t) for i, t in enumerate(["The monkey ran.", "The KEY thing. " + "x" * 150, "So, as a result, yes.", "Overall"])], "g int, ord int, text string")
+    assert [r.point for r in answer.key_points(d, "g", "ord").orderBy("ord").collect()] == ["The KEY thing.", "So, as a result, yes.", "Overall"]
+
+
+def test_formatted_and_complete(spark):
+    rows = [(1, i, f"S{i}.", "advice", "t", 1.0) for i in (1, 2)] + [(2, i, f"S{i}.", "odd", "t" if i < 6 else "u", 1.0) for i in range(1, 7)] + [(3, 1, "a myth it is", "verify", "t", 1.0)]
+    d = spark.createDataFrame(rows, "q int, ord int, text string, mode string, title string, relevance double")
+    got = {r.q: r.answer for r in answer.formatted(d, "q", "ord").collect()}
+    assert got[1] == answer.INTRO["advice"] + "\n• S1.\n• S2." + answer.NOTE
+    assert got[2] == "S1. S2. S3. S4.\n\nS5.\n\nS6."
+    assert got[3].startswith("**Verdict: " + answer.VERDICTS["FALSE"] + "**\n\n" + answer.INTRO["verify"])
+    cited = spark.createDataFrame([(2, 2, "B", "v", "forum"), (2, 1, "A", "u", "article")], "q int, citation int, title string, url string, source string")
+    full = answer.complete(spark.createDataFrame([(2,), (9,)], "q int"), answer.formatted(d, "q", "ord").withColumn("confidence", F.lit(0.5)), answer.footer(cited, "q"), "q")
+    out = {r.q: (r.answer, r.confidence) for r in full.collect()}
+    assert out[9] == (answer.NO_RESULT, 0.0)
+    assert out[2] == (got[2] + answer.FOOTER + "  [1] 📖 A\n      u\n  [2] 💬 B\n      v\n", 0.5)
+
+
+def test_sentence_rows(spark):
+    d = spark.createDataFrame([(1, "A b c. One two three four five. Six.")], "g int, text string")
+    assert [(r.sentence, round(r.position, 3)) for r in answer.sentence_rows(d, T.sentences(F.col("text"))).collect()] == [("One two three four five.", 0.333)]
+
+
+def test_forum_and_keywords(spark):
+    p = spark.createDataFrame([(1, None, "x"), (2, "mod", "x"), (3, None, "[deleted]"), (4, "", "[removed]"), (5, None, None)], "id int, removed_by string, selftext string")
+    assert {r.id for r in forum.live_posts(p).collect()} == {1, 4, 5}
+    c = spark.createDataFrame([(1, i, "[removed]" if i < 5 else "see https://x.y", "t3_a" if i % 2 else "t1_a") for i in range(30)], "t int, i int, body string, parent string")
+    got = forum.comments(c, "t", ["i"], parent="parent").collect()
+    assert sorted(r.i for r in got) == list(range(5, 20)) and all(r.has_links and r.word_count == 2 and r.is_top_level == bool(r.i % 2) for r in got)
+    k = one(spark, evaluate.keywords(F.lit("The Sun"), F.array(F.lit("SUN"), F.lit("moon"))))
+    assert (k.found, k.missing, k.recall) == (["SUN"], ["moon"], 0.5)
