@@ -28,22 +28,109 @@ def folds(df: DataFrame, key: str, label: str, n: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(h, F.lit(n)).cast("int"))
 
 
-def training_pipeline(classes: int, max_iter: int = 30):
-    """Word 1- and 2-gram TF-IDF and a multinomial logistic regression on (text, label)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+def balanced(df: DataFrame, label: str = "label") -> DataFrame:
+    """``df`` with a ``weight`` that gives each label the same total; one small row a label is joined back."""
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))  # one row
+    weights = sizes.crossJoin(F.broadcast(total)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
+    return df.join(weights, label)
+
+
+def features(min_df: int = 2, max_df: float = 0.95, most: int = 15_000) -> list:
+    """Stages from (text, label) to ``target`` and normalised TF-IDF ``features`` of word 1- to 3-grams; rows without a known label are left out."""
     from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 
-    return Pipeline(stages=[
-        StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"\W+"),
+    return [
+        StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip"),
+        RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"(?U)\W+"),
         NGram(n=2, inputCol="w1", outputCol="w2"),
-        SQLTransformer(statement="SELECT *, concat(w1, w2) AS grams FROM __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="tf", minDF=2, maxDF=0.95, vocabSize=15000),
+        NGram(n=3, inputCol="w1", outputCol="w3"),
+        SQLTransformer(statement="SELECT *, concat(w1, w2, w3) AS grams FROM __THIS__"),
+        CountVectorizer(inputCol="grams", outputCol="tf", minDF=min_df, maxDF=max_df, vocabSize=most),
         IDF(inputCol="tf", outputCol="idf"),
         Normalizer(inputCol="idf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="target", family="multinomial", maxIter=max_iter, regParam=0.001),
-    ])
+    ]
+
+
+def training_pipeline(max_iter: int = 30):
+    """TF-IDF and a multinomial logistic regression on (text, label, weight)."""
+    from pyspark.ml import Pipeline
+
+    return Pipeline(stages=[*features(), classifier("logistic", max_iter=max_iter)])
+
+
+def classifier(kind: str, trees: int = 200, max_iter: int = 30):
+    """``logistic`` (multinomial), ``forest`` or ``svm`` (one against the rest), weighted by ``weight``."""
+    from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+
+    common = {"featuresCol": "features", "labelCol": "target", "weightCol": "weight"}
+    if kind == "logistic":
+        return LogisticRegression(family="multinomial", maxIter=max_iter, regParam=0.001, standardization=False, **common)
+    if kind == "forest":
+        return RandomForestClassifier(numTrees=trees, maxDepth=20, seed=42, **common)
+    if kind == "svm":
+        return OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=0.002), rawPredictionCol="rawPrediction", **common)
+    raise ValueError(f"unknown classifier {kind!r}")
+
+
+def _margins(model, df: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(df).withColumn("margins", vector_to_array("rawPrediction"))
+
+
+def calibrated_svm(train: DataFrame, classes: int, key: str, parts: int = 3, max_iter: int = 30):
+    """A function that adds ``probability`` (array, by target) to prepared rows.
+
+    Every row's margins come from a model that has not seen its part; a logistic curve a class is fitted to them and
+    applied to the margins of a model of all rows.  Only two numbers a class reach the driver.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    dealt = folds(train, key, "label", parts)
+    held = [_margins(classifier("svm", max_iter=max_iter).fit(dealt.where(F.col("fold") != k)), dealt.where(F.col("fold") == k)) for k in range(parts)]
+    out = held[0]
+    for h in held[1:]:
+        out = out.unionByName(h)
+    out = out.select("target", "margins", "weight").persist()
+    curves = []
+    for c in range(classes):
+        rows = out.select((F.col("target") == c).cast("double").alias("y"), array_to_vector(F.array(F.col("margins")[c])).alias("m"), "weight")
+        fit = LogisticRegression(featuresCol="m", labelCol="y", family="binomial", regParam=1e-4, maxIter=max_iter).fit(rows)
+        curves.append((float(fit.coefficients[0]), float(fit.intercept)))
+    out.unpersist()
+    model = classifier("svm", max_iter=max_iter).fit(train)
+
+    def apply(df: DataFrame) -> DataFrame:
+        raw = F.array(*[1 / (1 + F.exp(-(a * F.col("margins")[c] + b))) for c, (a, b) in enumerate(curves)])
+        scaled = _margins(model, df).withColumn("_p", raw).withColumn("_s", F.aggregate("_p", F.lit(0.0), lambda x, y: x + y))
+        return scaled.withColumn("probability", F.expr("transform(_p, p -> p / _s)")).drop("_p", "_s", "margins", "rawPrediction", "prediction")
+
+    return apply
+
+
+def ensemble(train: DataFrame, key: str, weights: tuple[float, float, float] = (2, 1, 1), trees: int = 200, parts: int = 3, max_iter: int = 30):
+    """Labels in order, and a function from (``key``, text) rows to them with ``votes``: the weighted mean of the
+    probabilities of logistic regression, calibrated SVM and forest fitted on ``train`` (``key``, text, label)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    prepare = Pipeline(stages=features()).fit(train)
+    rows = balanced(prepare.transform(train)).select(key, "label", "target", "features", "weight").persist()
+    labels = list(prepare.stages[0].labels)
+    logistic, forest = classifier("logistic", max_iter=max_iter).fit(rows), classifier("forest", trees).fit(rows)
+    svm = calibrated_svm(rows, len(labels), key, parts, max_iter)
+    rows.unpersist()
+
+    def apply(df: DataFrame) -> DataFrame:
+        ready = prepare.transform(df.withColumn("label", F.lit(labels[0]))).select(key, "text", "features")
+        first = svm(ready).withColumnRenamed("probability", "_svm")
+        second = logistic.transform(first).withColumn("_log", vector_to_array("probability")).drop("probability", "rawPrediction", "prediction")
+        third = forest.transform(second).withColumn("_rf", vector_to_array("probability"))
+        return third.select(key, "text", soft_vote([F.col("_log"), F.col("_svm"), F.col("_rf")], list(weights)).alias("votes"))
+
+    return labels, apply
 
 
 def soft_vote(probabilities: list[Column], weights: list[float]) -> Column:

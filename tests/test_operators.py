@@ -103,7 +103,7 @@ def test_cache_and_feedback(spark, tmp_path):
 def test_training(spark):
     rows = [(f"how to cook {w} well", "advice") for w in "abcdef"] + [(f"when did the {w} war begin", "history") for w in "abcdef"]
     df = spark.createDataFrame(rows, "text string, label string")
-    m = intent.training_pipeline(2, 10).fit(df)
+    m = intent.training_pipeline(10).fit(intent.balanced(df))
     assert m.transform(df).where("prediction = target").count() == 12
     assert one(spark, intent.soft_vote([F.array(F.lit(1.0)), F.array(F.lit(0.0)), F.array(F.lit(0.0))], [2, 1, 1])) == [0.5]
 
@@ -165,3 +165,15 @@ def test_forum_and_keywords(spark):
     assert sorted(r.i for r in got) == list(range(5, 20)) and all(r.has_links and r.word_count == 2 and r.is_top_level == bool(r.i % 2) for r in got)
     k = one(spark, evaluate.keywords(F.lit("The Sun"), F.array(F.lit("SUN"), F.lit("moon"))))
     assert (k.found, k.missing, k.recall) == (["SUN"], ["moon"], 0.5)
+
+
+def test_ensemble(spark):
+    words = {"advice": ("should help tips", "recommend best way"), "history": ("war king century", "empire battle year"), "science": ("cell atom energy", "gravity light mass")}
+    rows = [(i * 10 + j, f"{w.split()[j % 3]} {w} {w.split()[(i + j) % 3]} n{j}", label) for i, (label, ws) in enumerate(words.items()) for j in range(10) for w in ws]
+    train = spark.createDataFrame([(k, t, label) for k, (_, t, label) in enumerate(rows)], "id int, text string, label string")
+    labels, apply = intent.ensemble(train, "id", trees=5, parts=2, max_iter=4)
+    assert labels == ["advice", "history", "science"]
+    new = spark.createDataFrame([(1, "tips should help"), (2, "battle of the empire year"), (3, "light and mass of gravity"), (4, "")], "id int, text string")
+    got = {r.id: r.votes for r in apply(new).collect()}
+    assert all(abs(sum(v) - 1) < 1e-6 for v in got.values())
+    assert [got[i].index(max(got[i])) for i in (1, 2, 3)] == [0, 1, 2]
