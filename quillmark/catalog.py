@@ -102,12 +102,14 @@ def _queries(e: DataFrame) -> DataFrame:
 @query(f"""SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS rank
 FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5 AND score >= 0.3""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     e = _read(spark, sf_dir, "embeddings")
     return vector.top_k(e, _queries(e)).select("query_id", "vec_id", "rank")
 
 
 @query()
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     e = _read(spark, sf_dir, "embeddings")
     return vector.mmr(e, _queries(e), floor=-1.0).select("query_id", "rank", "vec_id")
 

@@ -2,34 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries are a bounded set: more must be searched in blocks of so many.
-QUERY_BLOCK = 1000
+#: About so many queries and vectors are one row of a block table; every query block meets every vector block.
+QUERY_BLOCK, INDEX_BLOCK = 1000, 16384
+#: Queries compared at once within a pair of blocks.
+_AT_ONCE = 64
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, embedding, score of every pair; ``queries`` (query_id, query) is limited to a block and broadcast."""
-    return index.crossJoin(F.broadcast(queries.limit(QUERY_BLOCK))).select("query_id", "vec_id", "embedding", dot(F.col("embedding"), F.col("query")).alias("score"))
+def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """Rows of about ``size`` rows of ``df`` with a vector, dealt by a hash of ``key``."""
+    df = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(key, vector)
+    total = df.agg(F.count("*").alias("_n"))  # one row
+    block = F.pmod(F.xxhash64(key), F.greatest(F.ceil(F.col("_n") / size), F.lit(1)))
+    return df.crossJoin(F.broadcast(total)).groupBy(block.alias("_b")).agg(F.collect_list(F.struct(key, vector)).alias(name)).select(name)
+
+
+def _block_best(vectors: pa.StructArray, queries: pa.StructArray, best: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries and of their ``best`` vectors (by score, then vec_id), and the scores: sums in the order of the dimensions, as in ``dot``."""
+    ids = vectors.field(0).to_numpy(zero_copy_only=False)
+    out = []
+    for width in np.unique(pc.list_value_length(queries.field(1)).to_numpy(zero_copy_only=False)):
+        side = []
+        for s in (vectors, queries):
+            at = np.flatnonzero(pc.list_value_length(s.field(1)).to_numpy(zero_copy_only=False) == width)
+            side.append((at, s.field(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), width).astype(np.float64)))
+        (v_at, v), (q_at, q) = side
+        order = np.argsort(ids[v_at], kind="stable")
+        v_at, v = v_at[order], np.ascontiguousarray(v[order].T)
+        for k in range(0, len(q_at), _AT_ONCE):
+            score = np.zeros((len(q_at[k : k + _AT_ONCE]), len(v_at)))
+            for d in range(width):
+                score += q[k : k + _AT_ONCE, d, None] * v[d]
+            top = np.argsort(np.where(np.isnan(score), -np.inf, -score), axis=1, kind="stable")[:, :best]
+            out.append((np.repeat(q_at[k : k + _AT_ONCE], top.shape[1]), v_at[top].ravel(), np.take_along_axis(score, top, axis=1).ravel()))
+    return out
+
+
+def scored(index: DataFrame, queries: DataFrame, best: int) -> DataFrame:
+    """query_id, vec_id, embedding, score: of every query (query_id, query) and each block of vectors the ``best`` pairs.
+
+    Blocks, not rows, are paired, and none is left out; what a block returns holds its share of the best of all.
+    """
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    result = f"array<struct<query_id: {kind(queries, 'query_id')}, vec_id: {kind(index, 'vec_id')}, embedding: {kind(index, 'embedding')}, score: double>>"
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        names = ["query_id", "vec_id", "embedding", "score"]
+        for lefts, rights in batches:
+            sizes, rows = [0], []
+            for left, right in zip(lefts, rights, strict=True):
+                v, q, n = left.values, right.values, 0
+                for q_at, v_at, score in _block_best(v, q, best):
+                    near = v.take(pa.array(v_at))
+                    rows.append(pa.StructArray.from_arrays([q.field(0).take(pa.array(q_at)), near.field(0), near.field(1), pa.array(score)], names=names))
+                    n += len(score)
+                sizes.append(sizes[-1] + n)
+            yield pa.ListArray.from_arrays(pa.array(sizes, type=pa.int32()), pa.concat_arrays(rows))
+
+    two = _blocks(index, "vec_id", "embedding", INDEX_BLOCK, "vs").crossJoin(_blocks(queries, "query_id", "query", QUERY_BLOCK, "qs"))
+    return two.select(F.explode(F.arrow_udf(run, result)("vs", "qs")).alias("r")).select("r.*")
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.3) -> DataFrame:
     """The k best by score (ties by vec_id), then those at or above the floor."""
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = scored(index, queries).drop("embedding").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = scored(index, queries, k).drop("embedding").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.where(F.col("score") >= floor)
 
 
 def mmr(index: DataFrame, queries: DataFrame, k: int = 5, weight: float = 0.8, floor: float = 0.3) -> DataFrame:
     """Diverse top k from the 3k best: each pick maximises weight * score - (1 - weight) * highest similarity to the picks before."""
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pool = scored(index, queries).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3 * k)
+    pool = scored(index, queries, 3 * k).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3 * k)
     pool = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", "vec_id", "score", "embedding"))).alias("pool"))
     kind = "array<struct<_r:int,vec_id:bigint,score:double,embedding:array<float>>>"
 

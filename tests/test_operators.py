@@ -1,5 +1,7 @@
 """Rules of the retrieval and answer operators on small frames."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
@@ -46,6 +48,20 @@ def test_vector_search(spark):
     assert [r.vec_id for r in vector.mmr(index, q, 2, weight=1.0).orderBy("rank").collect()] == [0, 1]
 
 
+def test_vector_search_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vector, "INDEX_BLOCK", 7, raising=False)
+    r = random.Random(5)
+    rows = [(i, [float(r.randint(-4, 4)) for _ in range(3)]) for i in range(60)] + [(60, None), (61, [1.0])]
+    index = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = index.where("vec_id % 2 = 0 and vec_id < 60").selectExpr("vec_id as query_id", "embedding as query")
+    full = {i: v for i, v in rows if i < 60}
+    dots = {i: sorted((-sum(a * b for a, b in zip(full[i], v)), j) for j, v in full.items()) for i in range(0, 60, 2)}
+    want = {(i, k + 1, j) for i, d in dots.items() for k, (_, j) in enumerate(d[:3])}
+    assert {(r.query_id, r.rank, r.vec_id) for r in vector.top_k(index, q, 3, floor=-99.0).collect()} == want
+    assert {(r.query_id, r.rank, r.vec_id) for r in vector.mmr(index, q, 3, weight=1.0, floor=-99.0).collect()} == want
+
+
 def test_scores(spark):
     assert abs(one(spark, ranking.comment_quality(F.lit(0), F.lit(60), F.lit(9), F.lit(True))) - 10.0) < 1e-9
     assert one(spark, ranking.occurrences(F.lit("aaaa"), F.lit("aa"))) == 2
