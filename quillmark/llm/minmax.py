@@ -30,7 +30,7 @@ _COLUMNS = 1 << 16
 _CHUNK = 4096
 _MULT = mix(np.arange(1, PERMS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _ADD = mix(np.arange(1, PERMS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
-_BAND = mix(np.arange(1, BANDS + 1, dtype=U))
+_BAND = mix(np.arange(1, 2 * PERMS + 1, dtype=U))
 
 SIGNED = "struct<n: bigint, fp: binary, bands: array<bigint>>"
 
@@ -47,10 +47,10 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.concatenate((lo, hi))
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    values = sig.reshape(BANDS, ROWS)
-    key = _BAND.copy()
-    for k in range(ROWS):
+def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    values = sig.reshape(-1, rows)
+    key = _BAND[: len(values)].copy()
+    for k in range(rows):
         key = mix(key * U(0x9E3779B97F4A7C15) + values[:, k])
     return key.view(np.int64)
 
@@ -60,16 +60,19 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return two.tobytes()
 
 
-def _signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
-        n, fp, bands = [], [], []
-        for t in texts:
-            s = shingle_set(t.as_py())
-            n.append(len(s))
-            fp.append(_fingerprint(s) if len(s) else None)
-            bands.append(band_keys(signature(s)) if len(s) else None)
-        lists = pa.array(bands, type=pa.list_(pa.int64()))
-        yield pa.StructArray.from_arrays([pa.array(n, type=pa.int64()), pa.array(fp, type=pa.binary()), lists], names=["n", "fp", "bands"])
+def _signer(rows: int):
+    def _signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            n, fp, bands = [], [], []
+            for t in texts:
+                s = shingle_set(t.as_py())
+                n.append(len(s))
+                fp.append(_fingerprint(s) if len(s) else None)
+                bands.append(band_keys(signature(s), rows) if len(s) else None)
+            lists = pa.array(bands, type=pa.list_(pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(n, type=pa.int64()), pa.array(fp, type=pa.binary()), lists], names=["n", "fp", "bands"])
+
+    return _signed
 
 
 def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -161,15 +164,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for each row of ``docs`` (doc_id, text).
 
     Null, empty and wordless texts have no shingles and no links; so have rows with a null doc_id, which are kept
     with a null component_id.  doc_id is taken as a key: rows that repeat it are each returned.  Other columns are
-    left out; an empty table gives no rows.
+    left out; an empty table gives no rows.  ``rows``, a divisor of 252, is the number of signature values in a band.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = docs.select("doc_id", F.arrow_udf(_signed, SIGNED)("text").alias("x")).select("doc_id", "x.*")
+    sig = docs.select("doc_id", F.arrow_udf(_signer(rows), SIGNED)("text").alias("x")).select("doc_id", "x.*")
     sig = common.cut(sig, "dedup-signatures")
     linked = sig.where("n > 0 and doc_id is not null")
     classes = common.cut(linked.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("fp", F.col("x.doc_id").alias("cid"), "x.n", "x.bands"), "dedup-classes")
@@ -202,8 +205,8 @@ def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, with their columns."""
-    gone = near_duplicates(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    gone = near_duplicates(docs, threshold, rows).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     gone = common.cut(gone.distinct(), "dedup-gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

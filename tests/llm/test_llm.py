@@ -269,3 +269,14 @@ def test_pipeline(spark, docs):
     for d in ids:
         w = shingles(docs[d].text)
         assert not any(s and len(s & w) >= 0.8 * len(s) for s in items)
+
+
+def test_pipeline_drops_copies_from_similarity_080(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(300)]
+    copy = [f"e{i}" if i % 50 == 25 else w for i, w in enumerate(base)]
+    a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, "quite another text of six words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, DIR).collect()) == [1, 3]
