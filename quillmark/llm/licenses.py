@@ -1,9 +1,10 @@
 """License scans: a trained paragraph classifier, in DataFrame functions alone.
 
-Paragraphs (lines) are bags of word 1- and 2-grams; a multinomial logistic regression over the n-grams of its templates
-gives licence families and an unknown class, and its probabilities are calibrated by a temperature fitted on held-out
+Paragraphs end at blank lines.  Their lines and overlapping windows of their words, so that no notice is cut by a line
+end and none drowns in a long text, are bags of word 1- and 2-grams; a multinomial logistic regression over the n-grams
+of its templates gives licence families and an unknown class, and its probabilities are calibrated by a temperature fitted on held-out
 examples.  A family is reported where the classifier is sure enough and a template of that family confirms it by word
-containment.  A paragraph that holds a share of a template's words holds one of any ``n - needed + 1`` of them, so one
+containment; a paragraph has every family of its lines and windows.  One that holds a share of a template's words holds one of any ``n - needed + 1`` of them, so one
 expression over such words leaves out paragraphs that nothing can confirm, and no result changes.  The weights, a table
 bounded by the vocabulary, are broadcast.
 """
@@ -15,7 +16,7 @@ import random
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -115,8 +116,13 @@ def mandatory() -> list[str]:
     return sorted(out)
 
 
+def span() -> int:
+    """The words of the longest template: windows of twice as many words, so many apart, hold any notice of this length whole."""
+    return max(len(tokens(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 def paragraph_licenses(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, paragraph, family, probability) for each paragraph with a confirmed family."""
+    """(doc_id, text_hash, paragraph, family, probability) for each paragraph and each family confirmed in it."""
     classes, weights, bias, temperature = fitted()
     some = "(?<![a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in mandatory()) + ")"
     table = F.from_json(F.lit(json.dumps([{"g": g, "w": w} for g, w in weights.items()])), "array<struct<g:string,w:array<double>>>")
@@ -124,25 +130,44 @@ def paragraph_licenses(docs: DataFrame) -> DataFrame:
     known = spark.range(1).select(F.explode(table).alias("e")).select("e.g", "e.w")  # a row an n-gram of the vocabulary
     text = F.col("text").cast("string")
     low = F.lower(text)
-    parts = docs.where(low.rlike(some)).select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(low, "\n")).alias("paragraph", "p")).where(F.col("p").rlike(some))
+    parts = docs.where(low.rlike(some)).select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(low, r"\n\s*\n")).alias("paragraph", "p")).where(F.col("p").rlike(some))
     # what explode() returns is a column that later filters don't compute again
-    words = F.filter(F.split("p", TOKEN_SPLIT), lambda w: w != "")
-    parts = parts.select("doc_id", "text_hash", "paragraph", F.explode(F.array(words)).alias("words"))
+    split = lambda t: F.filter(F.split(t, TOKEN_SPLIT), lambda w: w != "")
+    lines = F.transform(F.filter(F.split("p", "\n"), lambda t: t.rlike(some)), split)
+    parts = parts.select("doc_id", "text_hash", "paragraph", F.explode(F.array(F.struct(split(F.col("p")).alias("all"), lines.alias("lines")))).alias("x")).select("doc_id", "text_hash", "paragraph", "x.*")
+    step = span()
+    # the windows around words of which a confirmed one holds at least one
+    hits = F.filter(F.transform("all", lambda w, i: F.when(w.isin(mandatory()), i)), lambda i: i.isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array(i - i % step, F.greatest(i - i % step - step, F.lit(0))))))
+    starts = F.when(F.size("all") <= 2 * step, F.array(F.lit(0))).otherwise(starts)
+    vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts for w in tokens(t)})
+
+    def run(x: Column) -> Column:
+        """The words at the beginning of ``x`` that templates hold: a window goes on through them, so that it cuts no notice short."""
+        end = F.array_position(F.transform(x, lambda w: w.isin(vocabulary)), F.lit(False)).cast("int")
+        return F.slice(x, F.lit(1), F.when(end == 0, F.size(x)).otherwise(end - 1))
+
+    before = lambda i: F.reverse(F.slice("all", F.greatest(i - step, F.lit(0)) + 1, F.least(i, F.lit(step))))
+    after = lambda i: F.slice("all", i + 2 * step + 1, F.lit(step))
+    windows = F.transform(starts, lambda i: F.concat(F.reverse(run(before(i))), F.slice("all", i + 1, F.lit(2 * step)), run(after(i))))
+    short = F.filter("lines", lambda x: F.size(x) <= 2 * step)
+    parts = parts.select("doc_id", "text_hash", "paragraph", F.posexplode(F.array_distinct(F.concat(windows, short))).alias("unit", "words"))
     fewest = min(needed(t) for ts in TEMPLATES.values() for t in ts)
-    listed = F.array(*[F.lit(w) for w in sorted({w for ts in TEMPLATES.values() for t in ts for w in tokens(t)})])
+    listed = F.array(*[F.lit(w) for w in vocabulary])
     parts = parts.select("*", F.explode(F.array(F.array_intersect("words", listed))).alias("own")).where(F.size("own") >= fewest)
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     named = [F.struct(F.lit(f).alias("family"), F.array(*[F.lit(w) for w in dict.fromkeys(tokens(t))]).alias("t")) for f, ts in TEMPLATES.items() for t in ts]
     alike = F.transform(F.array(*named), lambda n: F.named_struct(F.lit("family"), n["family"], F.lit("share"), F.size(F.array_intersect("own", n["t"])) / F.size(n["t"])))
     near = F.transform(F.filter(alike, lambda n: n["share"] >= CONFIRM), lambda n: n["family"])
-    parts = parts.select("doc_id", "text_hash", "paragraph", "words", F.explode(F.array(near)).alias("near")).where(F.size("near") > 0)
-    hits = parts.select("doc_id", "text_hash", "paragraph", "near", F.explode(F.array_distinct(F.concat("words", pairs))).alias("g"))
-    scored = hits.join(F.broadcast(known), "g").groupBy("doc_id", "text_hash", "paragraph").agg(F.first("near").alias("near"), *[F.sum(F.col("w")[k]).alias(f"_z{k}") for k in range(len(classes))])
+    parts = parts.select("doc_id", "text_hash", "paragraph", "unit", "words", F.explode(F.array(near)).alias("near")).where(F.size("near") > 0)
+    hits = parts.select("doc_id", "text_hash", "paragraph", "unit", "near", F.explode(F.array_distinct(F.concat("words", pairs))).alias("g"))
+    scored = hits.join(F.broadcast(known), "g").groupBy("doc_id", "text_hash", "paragraph", "unit").agg(F.first("near").alias("near"), *[F.sum(F.col("w")[k]).alias(f"_z{k}") for k in range(len(classes))])
     z = F.array(*[F.struct(((F.col(f"_z{k}") + F.lit(bias[k])) / F.lit(temperature)).alias("z"), F.lit(c).alias("family")) for k, c in enumerate(classes)])
-    scored = scored.select("doc_id", "text_hash", "paragraph", "near", z.alias("z")).withColumn("top", F.array_max("z"))
+    scored = scored.select("doc_id", "text_hash", "paragraph", "unit", "near", z.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v["z"] - F.col("top.z")))
-    out = scored.select("doc_id", "text_hash", "paragraph", F.col("top.family").alias("family"), (1 / total).alias("probability"), "near")
-    return out.where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE) & F.array_contains("near", F.col("family"))).drop("near")
+    out = scored.select("doc_id", "text_hash", "paragraph", "unit", F.col("top.family").alias("family"), (1 / total).alias("probability"), "near")
+    sure = out.where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE) & F.array_contains("near", F.col("family")))
+    return sure.groupBy("doc_id", "text_hash", "paragraph", "family").agg(F.max("probability").alias("probability"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -151,7 +176,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     license is the most probable paragraph's family.  Null and empty texts have none; rows that repeat a doc_id, null
     ones too, are each returned by their own text; an empty table gives no rows; other columns are left out.
     """
-    found = paragraph_licenses(docs).groupBy("doc_id", "text_hash").agg(F.max(F.struct("probability", "family")).alias("top"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))
+    found = paragraph_licenses(docs).groupBy("doc_id", "text_hash").agg(F.max(F.struct("probability", "family")).alias("top"), F.countDistinct("paragraph").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "top", "n", "families")
     rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")

@@ -280,3 +280,17 @@ def test_pipeline_drops_copies_from_similarity_080(spark):
     assert 0.80 <= len(a & b) / len(a | b) < 0.85
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, "quite another text of six words")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, DIR).collect()) == [1, 3]
+
+
+def test_op10_wrapped_notices_and_long_paragraphs(spark):
+    prose = "the harbour was quiet and the boats lay at their moorings all morning while rain fell " * 20
+    rows = [
+        (1, "This library is licensed under the GNU\nLesser General Public License.", "lgpl"),
+        (2, "some prose\nreleased under the Mozilla\nPublic License 2.0.", "mpl"),
+        (3, "licensed under a Creative\r\nCommons Attribution 4.0 International License.", "cc-by"),
+        (4, prose + "released under the mozilla public license 2.0 " + prose + "permission is hereby granted free of charge to any person obtaining a copy of this software " + prose, "mit,mpl"),
+        *((10 + k, "filler " * k + "licensed under a creative commons attribution non commercial license " + prose, "cc-by-nc") for k in range(34, 42)),
+        (5, "licensed under the GNU\n\nlesser boats " + prose, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    assert {r.doc_id: r.families for r in licenses.scanned(df).collect()} == {r[0]: r[2] for r in rows}
