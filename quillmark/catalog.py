@@ -269,6 +269,11 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.folds(_read(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "fold")
 
 
+@query("""SELECT doc_id, ((row_number() OVER (PARTITION BY quality ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT, doc_id) - 1) % 5)::INT AS fold FROM labels""")
+def label_ranked_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intent.stratified(_read(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "fold")
+
+
 _ANSWER = f"""WITH c AS (SELECT conv_id, turn, role, text, ['advice','history','science','fact','verify'][conv_id % 5 + 1] AS mode FROM conversations),
 i AS (SELECT *, sum(CASE WHEN b <> '' AND b <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM c)),
 p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1) // (CASE WHEN mode = 'history' THEN 3 ELSE 4 END) AS part FROM i),

@@ -22,10 +22,35 @@ def stats(df: DataFrame, label: str, source: str) -> DataFrame:
     return df.groupingSets([[], [label], [source]], label, source).agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean_length"))
 
 
+def _hash(key: str) -> Column:
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+
+
 def folds(df: DataFrame, key: str, label: str, n: int = 5) -> DataFrame:
-    """A fold for each row, evenly within each label, by a hash of the key; buckets keep a hot label out of one task."""
-    h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
-    return df.withColumn("fold", F.pmod(h, F.lit(n)).cast("int"))
+    """A fold for each row by a hash of the key alone, whatever the label; ``stratified`` deals each label out evenly."""
+    return df.withColumn("fold", F.pmod(_hash(key), F.lit(n)).cast("int"))
+
+
+def ranked(df: DataFrame, key: str, label: str, buckets: int = 256) -> DataFrame:
+    """``df`` with ``place``, a row's place (from 0) within its label by hash and key; and ``of``, the label's rows.
+
+    Places are counted within ranges of the hash and added to the rows of the ranges before, so no task holds a whole
+    label.  A null label is one of the labels.
+    """
+    h = F.col("_h")
+    # floor(h * buckets / 2^32) keeps the order of the hash
+    d = df.withColumn("_h", _hash(key)).withColumn("_b", F.floor(F.coalesce(h, F.lit(0)) * buckets / (1 << 32)))
+    sizes = d.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))  # at most ``buckets`` rows a label
+    upto = W.partitionBy("_l").orderBy("_c")
+    sizes = sizes.select("_l", "_c", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy("_l")).alias("of"))
+    d = d.withColumn("_r", F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key)))
+    d = d.join(sizes, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
+    return d.withColumn("place", F.col("_before") + F.col("_r") - 1).drop("_h", "_b", "_l", "_c", "_r", "_before")
+
+
+def stratified(df: DataFrame, key: str, label: str, n: int = 5) -> DataFrame:
+    """A fold for each row: within each label rows are dealt out in turn, so its folds differ by one row at most."""
+    return ranked(df, key, label).withColumn("fold", F.pmod("place", F.lit(n)).cast("int")).drop("place", "of")
 
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
@@ -88,7 +113,7 @@ def calibrated_svm(train: DataFrame, classes: int, key: str, parts: int = 3, max
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    dealt = folds(train, key, "label", parts)
+    dealt = stratified(train, key, "label", parts).persist()
     held = [_margins(classifier("svm", max_iter=max_iter).fit(dealt.where(F.col("fold") != k)), dealt.where(F.col("fold") == k)) for k in range(parts)]
     out = held[0]
     for h in held[1:]:
@@ -100,6 +125,7 @@ def calibrated_svm(train: DataFrame, classes: int, key: str, parts: int = 3, max
         fit = LogisticRegression(featuresCol="m", labelCol="y", family="binomial", regParam=1e-4, maxIter=max_iter).fit(rows)
         curves.append((float(fit.coefficients[0]), float(fit.intercept)))
     out.unpersist()
+    dealt.unpersist()
     model = classifier("svm", max_iter=max_iter).fit(train)
 
     def apply(df: DataFrame) -> DataFrame:

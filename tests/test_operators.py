@@ -116,6 +116,15 @@ def test_cache_and_feedback(spark, tmp_path):
     assert [(r.n, r.helpful) for r in spark.table("fb").collect()] == [(2, 1)]
 
 
+def test_stratified_folds_deal_out_each_label(spark):
+    rows = [(i, "hot") for i in range(503)] + [(1000 + i, "rare") for i in range(5)] + [(2000 + i, None) for i in range(7)]
+    got = intent.stratified(spark.createDataFrame(rows, "id long, label string"), "id", "label").collect()
+    assert sorted(r.id for r in got) == [i for i, _ in rows]
+    for label in ("hot", "rare", None):
+        n = [sum(r.fold == k and r.label == label for r in got) for k in range(5)]
+        assert sum(n) == sum(x == label for _, x in rows) and max(n) - min(n) <= 1
+
+
 def test_training(spark):
     rows = [(f"how to cook {w} well", "advice") for w in "abcdef"] + [(f"when did the {w} war begin", "history") for w in "abcdef"]
     df = spark.createDataFrame(rows, "text string, label string")
