@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import answer, chunking, dataset, evaluate, forum, html, intent, ranking, routing, vector
 from .plans.answering import answer_sources
-from .session import ship
+from .session import read, ship
 from .sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 QUESTIONS = ((0, "than the ingly heeaon thindly"), (1, "die der und enheit schung"), (2, "que los ción mente"))
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
 _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({t}, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 _WORDS = r"list_filter(string_split_regex({t}, '\s+'), lambda w: w <> '')"
 _TOKENS = r"list_distinct(list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 2 and w not in ({stop})))"
@@ -50,43 +50,55 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    if table in ("documents", "pages"):  # long texts: much work a row
+        return read(spark, sf_dir, table)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return answer_sources(_read(spark, sf_dir, "documents"), spark.createDataFrame(QUESTIONS, "query_id int, query string"))
 
 
-@query()
-def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagship(spark, sf_dir)
-
-
 @query(f"SELECT doc_id, len({_s('text')}) AS n_sentences, len({_w('text')}) AS n_words, len({_t('text')}) AS n_tokens FROM documents")
 def sentence_word_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return _read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(t)).alias("n_sentences"), T.word_count(t).alias("n_words"), F.size(T.token_set(t)).alias("n_tokens"))
 
 
-_FOLD = f"""
-WITH s AS (SELECT doc_id, list_transform({_s('text')}, lambda x: {{'cur': [{{'s': x, 'n': len({_w('x')})}}], 'n': len({_w('x')}), 'out': []::VARCHAR[]}}) AS xs FROM documents),
+# (doc_id, chunks) by a fold over the sentences of each document
+_CHUNKS = f"""
+s AS (SELECT doc_id, list_transform({_s('text')}, lambda x: {{'cur': [{{'s': x, 'n': len({_w('x')})}}], 'n': len({_w('x')}), 'out': []::VARCHAR[]}}) AS xs FROM documents),
 f AS (SELECT doc_id, CASE WHEN len(xs) = 0 THEN NULL ELSE list_reduce(xs, lambda a, x:
   CASE WHEN a.n + x.n > 200 THEN
     {{'cur': list_concat(CASE WHEN a.n < 50 THEN []::STRUCT(s VARCHAR, n BIGINT)[] ELSE a.cur[list_max(list_filter(range(1, len(a.cur) + 1), lambda k: list_sum(list_transform(a.cur[k:], lambda y: y.n)) >= 50)):] END, x.cur),
       'n': (CASE WHEN a.n < 50 THEN 0 ELSE list_sum(list_transform(a.cur[list_max(list_filter(range(1, len(a.cur) + 1), lambda k: list_sum(list_transform(a.cur[k:], lambda y: y.n)) >= 50)):], lambda y: y.n)) END + x.n)::BIGINT,
       'out': CASE WHEN a.n >= 50 THEN list_append(a.out, array_to_string(list_transform(a.cur, lambda y: y.s), ' ')) ELSE a.out END}}
   ELSE {{'cur': list_concat(a.cur, x.cur), 'n': a.n + x.n, 'out': a.out}} END) END AS z FROM s),
-c AS (SELECT doc_id, CASE WHEN z.n >= 50 THEN list_append(z.out, array_to_string(list_transform(z.cur, lambda y: y.s), ' ')) ELSE z.out END AS chunks FROM f WHERE z IS NOT NULL)
-SELECT doc_id, i - 1 AS chunk_index, len(chunks) AS total_chunks, substr(md5(doc_id::VARCHAR || ':body:' || (i - 1)), 1, 12) AS chunk_id, len({_w('chunks[i]')}) AS word_count, md5(chunks[i]) AS text_md5
-FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM c)"""
+c AS (SELECT doc_id, CASE WHEN z.n >= 50 THEN list_append(z.out, array_to_string(list_transform(z.cur, lambda y: y.s), ' ')) ELSE z.out END AS chunks FROM f WHERE z IS NOT NULL),
+r AS (SELECT doc_id, i - 1 AS chunk_index, len(chunks) AS total_chunks, chunks[i] AS chunk FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM c))"""
 
 
-@query(_FOLD)
+@query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, total_chunks, substr(md5(doc_id::VARCHAR || ':body:' || chunk_index), 1, 12) AS chunk_id, len({_w('chunk')}) AS word_count, md5(chunk) AS text_md5 FROM r")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     out = chunking.chunks(_read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id").cast("string"), F.lit("body"))
     return out.select("doc_id", "chunk_index", "total_chunks", "chunk_id", "word_count", F.md5("text").alias("text_md5"))
 
 
+_ASKED = " UNION ALL ".join(f"SELECT {i}::INT AS query_id, '{q}' AS query" for i, q in QUESTIONS)
+
+
+@query(f"""WITH {_CHUNKS}, q AS ({_ASKED}), qt AS (SELECT query_id, unnest({_t('query')}) AS term FROM q),
+t AS (SELECT doc_id, chunk_index, substr(md5(doc_id::VARCHAR || '::' || chunk_index), 1, 12) AS chunk_id, {_t('chunk')} AS w FROM r),
+h AS (SELECT query_id, doc_id, chunk_id, chunk_index, count(*) / sqrt(any_value(n)) AS score FROM (SELECT doc_id, chunk_index, chunk_id, len(w) AS n, unnest(w) AS term FROM t) JOIN qt USING (term) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM h),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS nth FROM k WHERE rank <= 5)
+SELECT query_id, doc_id, chunk_id, chunk_index, round(score, 9) AS score, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS citation FROM u WHERE nth = 1""")
+def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir).withColumn("score", F.round("score", 9))
+
+
 @query(r"""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '(?im)Edit:.*$', '', 'g'), '^\s+|\s+$', '', 'g')) AS cleaned FROM conversations""")
 def clean_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.clean_comment(F.col("text"))).alias("cleaned"))

@@ -14,10 +14,11 @@ from ..operators.ranking import top_per_group
 def answer_sources(docs: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """For (query_id, query): the k chunks with most question words in proportion to their size, with citation numbers.
 
-    An equi-join on tokens; only tokens of the questions are shuffled.
+    A chunk's tokens are made once; an equi-join keeps those that a question asks for before anything is shuffled.
     """
     cut = chunks(docs.select("doc_id", "source", "text"), F.col("doc_id").cast("string"), F.lit(""))
-    toks = cut.select("doc_id", "chunk_id", "chunk_index", F.size(token_set(F.col("text"))).alias("size"), F.explode(token_set(F.col("text"))).alias("term"))
+    toks = cut.select("doc_id", "chunk_id", "chunk_index", F.explode(F.array(token_set(F.col("text")))).alias("_t"))
+    toks = toks.select("doc_id", "chunk_id", "chunk_index", F.size("_t").alias("size"), F.explode("_t").alias("term"))
     asked = questions.select("query_id", F.explode(token_set(F.col("query"))).alias("term"))
     hits = toks.join(asked, "term").groupBy("query_id", "doc_id", "chunk_id", "chunk_index").agg((F.count("*") / F.sqrt(F.first("size"))).alias("score"))
     best = top_per_group(hits, "query_id", [F.desc("score"), "doc_id", "chunk_index"], k)

@@ -7,7 +7,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: A table of fewer files than cores and less than this for each core is dealt out anew when it is read.
+SMALL_BYTES = 128 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -22,3 +25,12 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._quillmark_shipped = True
     return spark
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table's rows; those of a small table in few files are dealt over all cores, large tables are never shuffled here."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * SMALL_BYTES:
+        return df.repartition(cores)
+    return df

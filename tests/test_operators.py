@@ -33,12 +33,39 @@ def words(n, end="."):
 
 def test_chunks(spark):
     def cut(t):
-        return [len(x.split()) for x in one(spark, chunking.chunk_array(F.lit(t)))]
+        df = spark.createDataFrame([(1, t)], "k int, text string")
+        rows = chunking.chunks(df, F.lit("t"), F.lit("s")).orderBy("chunk_index").collect()
+        assert all(r.word_count == len(r.text.split()) and r.total_chunks == len(rows) for r in rows)
+        return [r.word_count for r in rows]
 
     assert cut("") == [] and cut(words(49)) == [] and cut(words(50)) == [50]
     assert cut(words(300)) == [300]
     assert cut(" ".join([words(60)] * 5)) == [180, 180]
-    assert cut(words(30) + " " + words(200)) == [200]
+    assert cut(words(30) + " " + words(200)) == [200] and cut(None) == []
+
+
+def test_chunk_bounds_follow_the_plain_rule():
+    def plain(counts, target, overlap, least):
+        out, cur = [], []
+        for i, n in enumerate(counts):
+            if cur and sum(counts[c] for c in cur) + n > target:
+                held = sum(counts[c] for c in cur)
+                if held >= least:
+                    out.append((cur[0], i, held))
+                keep = []
+                if held >= overlap:
+                    while sum(counts[c] for c in keep) < overlap:
+                        keep.insert(0, cur.pop())
+                cur = keep
+            cur.append(i)
+        held = sum(counts[c] for c in cur)
+        return out + ([(cur[0], len(counts), held)] if held >= least else [])
+
+    r = random.Random(3)
+    for _ in range(500):
+        counts = [r.choice((1, 3, 8, 20, 60, 250)) for _ in range(r.randint(0, 60))]
+        for sizes in ((200, 50, 50), (20, 5, 10), (30, 0, 1)):
+            assert chunking.bounds(counts, *sizes) == plain(counts, *sizes)
 
 
 def test_vector_search(spark):
