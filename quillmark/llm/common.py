@@ -6,15 +6,20 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import read
+
 #: A word is a run of anything but the space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read(spark, sf_dir, "documents")
 
 
 @lru_cache(maxsize=1)
@@ -23,8 +28,16 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that is an error, as no folder would be shared.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -47,6 +60,27 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a few numbers or short hashes each (under 10 MB) that may be broadcast.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of short rows of fixed width, marked for a broadcast if it has at most ``SMALL_ROWS`` rows, else for a shuffled hash join."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df.hint("shuffle_hash")
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of ``n`` rows for the actions inside: for rows that are large each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     have = {c.lower() for c in df.columns}
@@ -55,6 +89,14 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def private(df: DataFrame) -> str:
+    """A beginning that no column name of ``df`` has, for columns of an operator's own."""
+    own = "_q"
+    while any(c.lower().startswith(own) for c in df.columns):
+        own = "_" + own
+    return own
+
+
 def span_list(spans: Column) -> Column:
     """``kind:start:end`` of an array of structs (start, rank, end, kind), by start and then by the kind's rank."""
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
