@@ -125,19 +125,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        uri = "file://" + uri
-    return fs.FileSystem.from_uri(uri)
-
-
 class _Writer:
     """Packs ids into sequences and writes both files of a partition."""
 
     def __init__(self, base: str, dtype: np.dtype, length: int):
-        self.fs, path = _filesystem(base)
+        self.fs, path = common.filesystem(base)
         self.fs.create_dir(path, recursive=True)
         self.name = uuid.uuid4().hex
         self.length, self.dtype, self.value = length, dtype, pa.from_numpy_dtype(dtype)
@@ -227,10 +219,13 @@ def write_ids(docs: DataFrame, base: str, tokenizer: str | None = None, length:
 
 
 class IdFile:
-    """Random access to one file pair; sequences and masks are views of the mapped file where it is local."""
+    """Random access to one file pair; sequences and masks are views of the mapped file where it is local.
+
+    Masks are Arrow's packed bits, an eighth of a byte a token, and are handed out as such without being unpacked.
+    """
 
     def __init__(self, base: str, name: str):
-        self.fs, path = _filesystem(base)
+        self.fs, path = common.filesystem(base)
         at = f"{path}/{name}"
         local = type(self.fs).__name__ == "LocalFileSystem"
         source = (lambda p: pa.memory_map(p)) if local else self.fs.open_input_file
@@ -240,11 +235,11 @@ class IdFile:
     def _batch(self, k: int) -> pa.RecordBatch:
         return self.ids.get_batch(k)
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view) and mask of the k-th sequence."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of the k-th sequence, both without a copy."""
         b, at = self._batch(k // BATCH), (k % BATCH) * self.length
         ids = b.column(0).flatten().to_numpy(zero_copy_only=True)[at : at + self.length]
-        return ids, b.column(1).flatten().slice(at, self.length).to_numpy(zero_copy_only=False)
+        return ids, b.column(1).flatten().slice(at, self.length)
 
     def slice(self, start: int, n: int) -> np.ndarray:
         """The ids from ``start`` on, over as many batches as they take."""

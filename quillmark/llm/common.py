@@ -44,6 +44,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quillmark/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str):
+    """The Arrow file system of a folder's URI, for workers, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("s3a:"):
+        uri = "s3:" + uri[4:]
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: short lineage, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)

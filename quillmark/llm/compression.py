@@ -30,8 +30,11 @@ BANDS = (
     (65536, 1.55, 4.2),
     (float("inf"), 1.60, 4.6),
 )
-#: The same for full chunks; of a document's chunks so great a share may lie outside.
-CHUNK_BAND = (1.30, 3.4)
+#: Shorter documents are cut into shorter chunks; below the least size there is nothing to cut.
+SHORT, SHORT_CHUNK, LEAST = 2 * CHUNK, 1024, 2048
+#: A last chunk from so many bytes on is judged too.  A chunk's band is that of a document of its size.
+LAST = 256
+#: Of a document's chunks so great a share may lie outside.
 CHUNK_SHARE = 0.34
 
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, ratio double, n_chunks bigint, n_chunks_out bigint, base_failed boolean, kept boolean"
@@ -66,6 +69,15 @@ def in_band(size: int, ratio: float, bands=BANDS) -> bool:
     return next(lo <= ratio <= hi for top, lo, hi in bands if size <= top)
 
 
+def pieces(data: bytes) -> Iterator[bytes]:
+    """The chunks that are judged: of fixed size, and the rest if it is long enough; of documents below ``LEAST`` bytes none."""
+    if len(data) >= LEAST:
+        size = CHUNK if len(data) >= SHORT else SHORT_CHUNK
+        for at in range(0, len(data), size):
+            if min(size, len(data) - at) >= LAST:
+                yield data[at : at + size]
+
+
 def measure(text: str | None, zstd: zstandard.ZstdCompressor) -> tuple:
     """The measures of one text and the verdict (see ``quality``)."""
     text = text or ""
@@ -75,14 +87,13 @@ def measure(text: str | None, zstd: zstandard.ZstdCompressor) -> tuple:
     chars = len(text) - sum(text.count(c) for c in " \t\n\x0b\x0c\r")
     symbols = sum(text.count(c) for c in "#*$%&|<>")
     ratio = len(data) / len(zstd.compress(data)) if data else 0.0
-    full = len(data) // CHUNK
-    out = 0
-    for k in range(full):
-        r = CHUNK / len(zstd.compress(data[k * CHUNK : (k + 1) * CHUNK]))
-        out += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
+    chunks = out = 0
+    for part in pieces(data):
+        chunks += 1
+        out += not in_band(len(part), len(part) / len(zstd.compress(part)))
     failed = n_words < 10 or 100 * repeat > 20 * n_words
-    kept = not failed and in_band(len(data), ratio) and out <= CHUNK_SHARE * full
-    return n_words, chars, symbols, _dup_lines(text), repeat, ratio, full, out, failed, kept
+    kept = not failed and in_band(len(data), ratio) and out <= CHUNK_SHARE * chunks
+    return n_words, chars, symbols, _dup_lines(text), repeat, ratio, chunks, out, failed, kept
 
 
 def _measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -100,8 +111,7 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``quality`` (underscores before the name where it is taken).
 
     Null and empty texts have no words, fail the base rule and aren't kept; equal rows get equal verdicts; an empty
-    table gives an empty table; other columns pass through.  A chunk is cut by bytes; a shorter last chunk counts
-    only with the whole document.
+    table gives an empty table; other columns pass through.  Chunks are cut by bytes.
     """
     return docs.withColumn(common.spare(docs, "quality"), F.arrow_udf(_measured, RESULT)(F.col(text_col).cast("string")))
 
@@ -112,6 +122,6 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns."""
+    """The rows of ``docs`` that pass, with their columns; null and empty texts go, repeated rows share a verdict."""
     name = common.spare(docs, "quality")
-    return quality(docs).where(F.col(name)["kept"]).select(*[docs[c] for c in docs.columns])
+    return quality(docs).where(F.col(name)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

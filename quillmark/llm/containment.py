@@ -14,7 +14,9 @@ compared with each block.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -127,11 +129,17 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def _searcher(sent: Broadcast, threshold: float) -> Callable:
+@lru_cache(maxsize=2)
+def _index(key: int, sent: Broadcast) -> ItemIndex:
+    """A block's index, made once a worker and not in each task."""
+    return ItemIndex(sent.value)
+
+
+def _searcher(sent: Broadcast, key: int, threshold: float) -> Callable:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = ("item_id", "n_item", "n_shared")
         kind = pa.list_(pa.struct([pa.field(x, pa.int64()) for x in names]))
-        index = ItemIndex(sent.value)
+        index = _index(key, sent)
         for texts in batches:
             rows = [[dict(zip(names, r, strict=True)) for r in index.search(t.as_py(), threshold)] for t in texts]
             yield pa.array(rows, type=kind)
@@ -151,7 +159,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT)
     found = []
     for block in _blocks(items):
         sent = sc.broadcast(block)
-        found.append(F.arrow_udf(_searcher(sent, threshold), FOUND)(F.col("text").cast("string")))
+        found.append(F.arrow_udf(_searcher(sent, uuid.uuid4().int, threshold), FOUND)(F.col("text").cast("string")))
     return docs.withColumn(name, F.concat(*found) if len(found) > 1 else found[0])
 
 
@@ -162,6 +170,6 @@ def op3_size_partitioned_containment(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with their columns."""
+    """The rows of ``docs`` that contain no item, with their columns; null, empty and wordless texts stay, repeated rows share a verdict."""
     name = common.spare(docs, "contaminated")
-    return contained(docs, items, threshold).where(F.size(name) == 0).select(*[docs[c] for c in docs.columns])
+    return contained(docs, items, threshold).where(F.size(name) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,13 +2,14 @@
 
 Each language has a codeword of bits; a binary classifier over hashed character 1- to 3-grams predicts each bit.
 A text's language is the codeword with the smallest loss-weighted distance to the classifiers' margins; a small lead
-over the second flags ambiguity.  The classifiers are fitted on a bounded sample of labelled rows: up to
-``PER_LANG`` documents of each of up to ``LANGS`` languages, taken by a hash of doc_id.
+over the second flags ambiguity.  The classifiers are fitted on a bounded sample of labelled rows: of every language up
+to ``PER_LANG`` documents, fewer where there are so many languages that ``SAMPLE`` rows would be passed (but one at
+least), taken by a hash of doc_id.  Rows over ``LONGEST`` bytes are left out of it but for one where a language has no
+other.  No language is left out.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,21 +22,24 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PER_LANG, LANGS = 300, 200
+#: Bounds of the sample: rows a language, rows in all, UTF-8 bytes of a row.
+PER_LANG, SAMPLE, LONGEST = 300, 3000, 1 << 16
 BINS = 1 << 13
 RIDGE = 0.02
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 19
 RESULT = "struct<lang_pred: string, score: double, ambiguous: boolean>"
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    out = np.ones(0x110000, dtype=bool)
-    out[:0x30000] = [chr(i).isalpha() for i in range(0x30000)]
-    return out
+    """Whether each code point is a letter, as ``str.isalpha`` has it."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 def features(text: str) -> np.ndarray:
@@ -77,7 +81,7 @@ class Model:
     trust: np.ndarray  # each bit's weight in the decoding
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0, True
         margin = self.weights @ features(text) + self.bias
         loss = (self.trust * np.exp(-np.clip(self.code * margin, -4, 4))).sum(axis=1) / self.trust.sum()
@@ -104,15 +108,23 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(names, code, (x.T @ alpha).T, bias, trust)
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Fit on rows whose crc32(doc_id as text) mod 5 is not 0 and whose text and lang are there."""
-    usable = docs.where("text is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
-    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).select("lang")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = usable.select("doc_id", "lang").join(F.broadcast(top), "lang").withColumn("_r", rank).where(F.col("_r") <= per_lang).select("doc_id").distinct()
-    # at most per_lang x LANGS ids
-    rows = usable.join(F.broadcast(picked), "doc_id", "left_semi").select("text", "lang", "doc_id").collect()
-    rows = sorted((r for r in rows if _LETTER.search(r["text"])), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """Fit on rows whose crc32(doc_id as text) mod 5 is not 0 and whose text and lang are there.
+
+    Rows are ranked by their ids' and texts' hashes within a language; a partition keeps its own first ones before any
+    are shuffled.  Equal rows count once.
+    """
+    usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    usable = usable.where("text is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    usable = usable.withColumn("h", F.xxhash64("text")).withColumn("short", F.octet_length("text") <= longest)
+    langs = usable.agg(F.count_distinct("lang")).first()[0]
+    share = max(1, min(per_lang, sample // max(langs, 1)))
+    # a language of long texts only is learned from one of them
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("short"), F.xxhash64("doc_id"), "doc_id", "h"))
+    picked = usable.select("doc_id", "lang", "h", "short").withColumn("r", rank).where((F.col("r") <= share) & (F.col("short") | (F.col("r") == 1))).select("doc_id", "lang", "h")
+    # at most ``sample`` rows, or one a language
+    rows = usable.join(F.broadcast(picked.distinct()), ["doc_id", "lang", "h"], "left_semi").select("doc_id", "lang", "text").distinct().collect()
+    rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

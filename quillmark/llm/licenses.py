@@ -21,24 +21,44 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Short notices of each family.
+#: Notices of each family, as words in lower case.
 TEMPLATES = {
+    "agpl": ("licensed under the gnu affero general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "released under the agpl version 3", "gnu agpl v3"),
     "apache-2.0": ("licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "released under the apache software license 2.0", "apache 2.0 license"),
-    "mit": ("released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "mit license"),
+    "artistic": ("licensed under the artistic license 2.0", "you may redistribute it under the terms of the artistic license"),
+    "boost": ("distributed under the boost software license version 1.0", "licensed under the boost software license"),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "licensed under the 3-clause bsd license", "released under the bsd license", "use of this source code is governed by a bsd style license"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "licensed under the gpl version 2 or later", "gnu gpl v3"),
-    "lgpl": ("licensed under the gnu lesser general public license", "this library is free software released under the lgpl"),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2.0", "released under the mozilla public license 2.0"),
     "cc-by": ("licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "this work is licensed under cc by 3.0"),
-    "cc-by-sa": ("licensed under a creative commons attribution share alike 4.0 license", "licensed under cc by-sa 4.0", "text is available under cc by-sa 3.0"),
     "cc-by-nc": ("licensed under a creative commons attribution non commercial license", "licensed under cc by-nc 4.0", "available under cc by-nc 3.0"),
-    "public-domain": ("dedicated to the public domain under cc0 1.0 universal", "released into the public domain", "no rights reserved cc0"),
+    "cc-by-nc-nd": ("licensed under a creative commons attribution non commercial no derivatives license", "licensed under cc by-nc-nd 4.0"),
+    "cc-by-nc-sa": ("licensed under a creative commons attribution non commercial share alike license", "licensed under cc by-nc-sa 4.0"),
+    "cc-by-nd": ("licensed under a creative commons attribution no derivatives 4.0 license", "licensed under cc by-nd 4.0"),
+    "cc-by-sa": ("licensed under a creative commons attribution share alike 4.0 license", "licensed under cc by-sa 4.0", "text is available under cc by-sa 3.0"),
+    "cddl": ("licensed under the common development and distribution license version 1.0", "released under the cddl 1.0"),
+    "epl": ("licensed under the eclipse public license 2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", "released under the epl 2.0"),
+    "eupl": ("licensed under the european union public licence 1.2", "licensed under the eupl version 1.2"),
+    "gpl": ("this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "licensed under the gpl version 2 or later", "gnu gpl v3"),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "licensed under the isc license", "isc license"),
+    "lgpl": ("licensed under the gnu lesser general public license", "this library is free software released under the lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    "mit": ("released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge to any person obtaining a copy of this software", "mit license"),
+    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2.0", "released under the mozilla public license 2.0", "licensed under the mpl 2.0"),
+    "ofl": ("this font software is licensed under the sil open font license version 1.1", "licensed under the sil ofl 1.1"),
     "proprietary": ("copyright all rights reserved", "all rights reserved no part of this publication may be reproduced", "proprietary and confidential unauthorized copying is strictly prohibited"),
+    "public-domain": ("dedicated to the public domain under cc0 1.0 universal", "released into the public domain", "no rights reserved cc0"),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "released under the unlicense"),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "licensed under the zlib license"),
 }
 UNKNOWN = "unknown"
+#: Names without which, or with another word next to them, a notice is of no known family; and words that tell families apart.
+NAMES = frozenset("agpl apache artistic boost bsd cddl creative eclipse epl eupl european gnu gpl isc lgpl mit mozilla mpl ofl sil unlicense zlib".split())
+TELLING = NAMES | frozenset("affero alike by by-nc by-nc-nd by-nc-sa by-nd by-sa cc cc0 commercial common commons derivatives development distribution domain font general lesser no non public share unencumbered".split())
 STOP = frozenset("a an and any are as at be by for from in into is it may no not of on or part person that the this to under use used we with without you your".split())
-OTHERS = ("she renewed her driving license last week", "the public was free to enter the domain", "a version of the story was released", "the work of the general", "the source of the river", "terms of the lease", "the university library is open", "copy the file to the disk", "the program starts at nine", "permission to land was granted", "fishing license fees rose", "licensed to the harbour board for one year", "commercial rights were reserved for the club", "the apache people lived there", "a general public meeting")
-SAMPLES, STEPS, L2, SURE, CONFIRM = 1600, 400, 1e-3, 0.6, 0.6
+OTHERS = ("she renewed her driving license last week", "the public was free to enter the domain", "a version of the story was released", "the work of the general", "the source of the river", "terms of the lease", "the university library is open", "copy the file to the disk", "the program starts at nine", "permission to land was granted", "fishing license fees rose", "licensed to the harbour board for one year", "commercial rights were reserved for the club", "the apache people lived there", "a general public meeting", "the eclipse was free for the public to see", "the mozilla of the forest", "the common development of the european union", "no part of the boost was used", "the author is not liable for damages to the software")
+#: Notices of no listed family; ``*`` is any other word.
+FRAMES = ("licensed under the * license version 2.0", "released under the * license", "licensed under the * public license 1.0", "released under the * public license", "this work is licensed under the * general public license version 3", "licensed under the * software license", "distributed under the * open license 2.0", "use is subject to the terms of the * license", "licensed under the * * license v 1.1", "licensed under * by 4.0")
+SAMPLES, STEPS, L2, SURE, CONFIRM = 3000, 300, 3e-4, 0.6, 0.6
+#: Stands for a word that no template or sentence above has.
+OTHER = "*"
 TOKEN_SPLIT = r"[^a-z0-9.\-]+|[.\-]+(?=[^a-z0-9]|$)|(?<![a-z0-9])[.\-]+"
 
 
@@ -48,43 +68,60 @@ def tokens(text: str) -> list[str]:
     return [w for w in re.split(TOKEN_SPLIT, text.lower()) if w]
 
 
+@lru_cache(maxsize=1)
+def vocabulary() -> frozenset[str]:
+    lines = [t for ts in TEMPLATES.values() for t in ts] + [t for f in FRAMES for t in f.replace("*", " ").split()] + list(OTHERS)
+    return frozenset(w for t in lines for w in tokens(t))
+
+
 def grams(words: list[str]) -> list[str]:
-    return list(dict.fromkeys([w for w in words if w not in STOP] + [f"{a} {b}" for a, b in zip(words, words[1:]) if not (a in STOP and b in STOP)]))
+    """Distinct words and pairs of neighbours, unlisted words as ``OTHER``; none of stop words or unlisted ones alone."""
+    known = [w if w in vocabulary() else OTHER for w in words]
+    dull = STOP | {OTHER}
+    return list(dict.fromkeys([w for w in known if w not in dull] + [f"{a} {b}" for a, b in zip(known, known[1:]) if not (a in dull and b in dull)]))
 
 
 def samples(n: int = SAMPLES, seed: int = 3) -> list[tuple[list[str], str]]:
-    """Templates with words dropped, added and put before or after; ordinary sentences; half-notices of no listed family."""
+    """Words and families: notices with words dropped, added and put before or after; of no family are ordinary sentences,
+    ``FRAMES``, and notices whose name is replaced or followed by another word."""
     r, out = random.Random(seed), []
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 9)))
     families = sorted(TEMPLATES)
     for k in range(n):
-        if k % 3:
-            f = families[k % len(families)]
-            words = [w for w in tokens(r.choice(TEMPLATES[f])) if w in ("mit", "bsd", "gpl", "lgpl", "apache", "mozilla", "lesser", "by", "by-nc", "by-sa", "cc0") or r.random() > 0.08]
+        f = families[k % len(families)]
+        words = tokens(r.choice(TEMPLATES[f]))
+        kind = r.random()
+        if kind < 0.6:
+            words = [w for w in words if w in TELLING or r.random() > 0.08]
+        elif kind < 0.75 and (named := [i for i, w in enumerate(words) if w in NAMES]):
+            f, i = UNKNOWN, r.choice(named)
+            words = words[:i] + [word()] + words[i + 1 :] if r.random() < 0.5 else words[: i + 1] + [word()] + words[i + 1 :]
         else:
-            f = UNKNOWN
-            kind = r.random()
-            words = tokens(r.choice(OTHERS)) if kind < 0.5 else tokens(f"licensed under the {word()} license version {r.randint(1, 9)}.0") if kind < 0.7 else []
-            words += [word() for _ in range(r.randint(0, 10))]
+            f, line = UNKNOWN, r.choice(FRAMES) if kind < 0.9 else r.choice(OTHERS)
+            words = [w for t in line.split() for w in ([word()] if t == "*" else tokens(t))]
         words = [word() for _ in range(r.randint(0, 3))] + words + [word() for _ in range(r.randint(0, 3))]
         out.append((words, f))
     return out
 
 
+#: Weights are whole multiples of this, so sums don't depend on their order.
+UNIT = 1 / (1 << 20)
+
+
 @lru_cache(maxsize=1)
-def fitted() -> tuple[list[str], dict[str, list[float]], list[float], float]:
-    """(classes, weights by n-gram, bias, temperature)."""
+def fitted() -> tuple[list[str], dict[str, list[int]], list[int], float]:
+    """(classes, weights by n-gram and bias in units of ``UNIT``, temperature)."""
     rows = samples()
     classes = [UNKNOWN, *sorted(TEMPLATES)]
-    known = {g for ts in TEMPLATES.values() for t in ts for g in grams(tokens(t))} | {g for t in OTHERS for g in grams(tokens(t))}
-    vocab = {g: i for i, g in enumerate(sorted(known))}
-    x = np.zeros((len(rows), len(vocab)))
-    for i, (w, _) in enumerate(rows):
-        x[i, [vocab[g] for g in grams(w) if g in vocab]] = 1
+    bags = [grams(w) for w, _ in rows]
+    vocab = {g: i for i, g in enumerate(sorted({g for b in bags for g in b}))}
+    x = np.zeros((len(rows), len(vocab)), dtype=np.float32)
+    for i, b in enumerate(bags):
+        x[i, [vocab[g] for g in b]] = 1
     y = np.array([classes.index(f) for _, f in rows])
-    held = np.arange(len(y)) % 5 == 0
-    target = np.eye(len(classes))[y]
-    w, b = np.zeros((len(vocab), len(classes))), np.zeros(len(classes))
+    held = np.arange(len(y)) // len(TEMPLATES) % 5 == 0
+    target = np.eye(len(classes), dtype=np.float32)[y]
+    w, b = np.zeros((len(vocab), len(classes)), dtype=np.float32), np.zeros(len(classes), dtype=np.float32)
 
     def soft(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -98,7 +135,17 @@ def fitted() -> tuple[list[str], dict[str, list[float]], list[float], float]:
     z = x[held] @ w + b
     loss = {t: -np.log(soft(z / t)[np.arange(len(z)), y[held]] + 1e-12).mean() for t in (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0)}
     b[0] = max(b[0], b[1:].max() + 1e-6)  # nothing known means the unknown class
-    return classes, {g: [float(v) for v in w[i]] for g, i in vocab.items()}, [float(v) for v in b], min(loss, key=loss.get)
+    whole = lambda v: [int(round(u / UNIT)) for u in v]
+    return classes, {g: whole(w[i]) for g, i in vocab.items()}, whole(b), min(loss, key=loss.get)
+
+
+def predict(words: list[str]) -> tuple[str, float]:
+    """The family of some words and its probability, as the expressions below give it before any template is compared."""
+    classes, weights, bias, temperature = fitted()
+    z = np.array([sum(weights[g][k] for g in grams(words) if g in weights) + bias[k] for k in range(len(classes))]) * UNIT / temperature
+    e = np.exp(z - z.max())
+    best = max(range(len(classes)), key=lambda k: (z[k], classes[k]))
+    return classes[best], float(e[best] / e.sum())
 
 
 def needed(template: str) -> int:
@@ -122,10 +169,14 @@ def span() -> int:
 
 
 def paragraph_licenses(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, paragraph, family, probability) for each paragraph and each family confirmed in it."""
+    """(doc_id, text_hash, paragraph, family, probability) for each paragraph and each family confirmed in it.
+
+    Null and empty texts and an empty table give no rows; rows with equal doc_id and text are one here; other columns of
+    ``docs`` are left out.
+    """
     classes, weights, bias, temperature = fitted()
     some = "(?<![a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in mandatory()) + ")"
-    table = F.from_json(F.lit(json.dumps([{"g": g, "w": w} for g, w in weights.items()])), "array<struct<g:string,w:array<double>>>")
+    table = F.from_json(F.lit(json.dumps([{"g": g, "w": w} for g, w in weights.items()])), "array<struct<g:string,w:array<bigint>>>")
     spark = docs.sparkSession
     known = spark.range(1).select(F.explode(table).alias("e")).select("e.g", "e.w")  # a row an n-gram of the vocabulary
     text = F.col("text").cast("string")
@@ -140,11 +191,11 @@ def paragraph_licenses(docs: DataFrame) -> DataFrame:
     hits = F.filter(F.transform("all", lambda w, i: F.when(w.isin(mandatory()), i)), lambda i: i.isNotNull())
     starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array(i - i % step, F.greatest(i - i % step - step, F.lit(0))))))
     starts = F.when(F.size("all") <= 2 * step, F.array(F.lit(0))).otherwise(starts)
-    vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts for w in tokens(t)})
+    listed = sorted({w for ts in TEMPLATES.values() for t in ts for w in tokens(t)})
 
     def run(x: Column) -> Column:
         """The words at the beginning of ``x`` that templates hold: a window goes on through them, so that it cuts no notice short."""
-        end = F.array_position(F.transform(x, lambda w: w.isin(vocabulary)), F.lit(False)).cast("int")
+        end = F.array_position(F.transform(x, lambda w: w.isin(listed)), F.lit(False)).cast("int")
         return F.slice(x, F.lit(1), F.when(end == 0, F.size(x)).otherwise(end - 1))
 
     before = lambda i: F.reverse(F.slice("all", F.greatest(i - step, F.lit(0)) + 1, F.least(i, F.lit(step))))
@@ -153,16 +204,17 @@ def paragraph_licenses(docs: DataFrame) -> DataFrame:
     short = F.filter("lines", lambda x: F.size(x) <= 2 * step)
     parts = parts.select("doc_id", "text_hash", "paragraph", F.posexplode(F.array_distinct(F.concat(windows, short))).alias("unit", "words"))
     fewest = min(needed(t) for ts in TEMPLATES.values() for t in ts)
-    listed = F.array(*[F.lit(w) for w in vocabulary])
-    parts = parts.select("*", F.explode(F.array(F.array_intersect("words", listed))).alias("own")).where(F.size("own") >= fewest)
-    pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    parts = parts.select("*", F.explode(F.array(F.array_intersect("words", F.array(*[F.lit(w) for w in listed])))).alias("own")).where(F.size("own") >= fewest)
     named = [F.struct(F.lit(f).alias("family"), F.array(*[F.lit(w) for w in dict.fromkeys(tokens(t))]).alias("t")) for f, ts in TEMPLATES.items() for t in ts]
     alike = F.transform(F.array(*named), lambda n: F.named_struct(F.lit("family"), n["family"], F.lit("share"), F.size(F.array_intersect("own", n["t"])) / F.size(n["t"])))
     near = F.transform(F.filter(alike, lambda n: n["share"] >= CONFIRM), lambda n: n["family"])
     parts = parts.select("doc_id", "text_hash", "paragraph", "unit", "words", F.explode(F.array(near)).alias("near")).where(F.size("near") > 0)
+    words_known = F.transform("words", lambda w: F.when(w.isin(*sorted(vocabulary())), w).otherwise(OTHER))
+    parts = parts.select("doc_id", "text_hash", "paragraph", "unit", "near", F.explode(F.array(words_known)).alias("words"))
+    pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     hits = parts.select("doc_id", "text_hash", "paragraph", "unit", "near", F.explode(F.array_distinct(F.concat("words", pairs))).alias("g"))
     scored = hits.join(F.broadcast(known), "g").groupBy("doc_id", "text_hash", "paragraph", "unit").agg(F.first("near").alias("near"), *[F.sum(F.col("w")[k]).alias(f"_z{k}") for k in range(len(classes))])
-    z = F.array(*[F.struct(((F.col(f"_z{k}") + F.lit(bias[k])) / F.lit(temperature)).alias("z"), F.lit(c).alias("family")) for k, c in enumerate(classes)])
+    z = F.array(*[F.struct(((F.col(f"_z{k}") + F.lit(bias[k])) * F.lit(UNIT / temperature)).alias("z"), F.lit(c).alias("family")) for k, c in enumerate(classes)])
     scored = scored.select("doc_id", "text_hash", "paragraph", "unit", "near", z.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v["z"] - F.col("top.z")))
     out = scored.select("doc_id", "text_hash", "paragraph", "unit", F.col("top.family").alias("family"), (1 / total).alias("probability"), "near")

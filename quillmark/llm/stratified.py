@@ -16,8 +16,8 @@ from . import common
 
 SEED = 7
 SHARDS = 16
-#: Buckets of each ranking; ranks don't depend on it.
-BUCKETS = 1024
+#: Rows in a bucket of a ranking, about; ranks don't depend on it.
+BUCKET_ROWS = 20_000
 _SPAN = 1 << 62
 
 
@@ -29,7 +29,7 @@ def _below(rows: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     return counts.select(*keys, bucket, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_below"), F.sum("_n").over(total).alias("_total"))
 
 
-def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, source, size, text_crc32, fraction, shard and slot of each row of ``docs``.
 
     Shards' row counts differ by one at most.  A null source is a source of its own; a null text has size 1 and the
@@ -44,8 +44,12 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         h.alias("_h"),
-    ).withColumn("_b", F.expr(f"cast(_h div {_SPAN // buckets} as int)"))
+    )
     rows = common.cut(rows, "shard-rows")  # narrow; read three times below
+    buckets, total = 16, rows.count()
+    while buckets < 1 << 30 and buckets * bucket_rows < total:
+        buckets *= 2
+    rows = rows.withColumn("_b", F.expr(f"cast(_h div {_SPAN // buckets} as int)"))
     order: list[Column | str] = ["_h", "doc_id", "text_crc32", "size"]
     base = _below(rows, ["_source"], "_b")
     rank = F.row_number().over(W.partitionBy("_source", "_b").orderBy(*order)) - 1
@@ -57,7 +61,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets:
     placed = common.cut(placed.withColumn("_f", F.floor(F.col("fraction") * buckets).cast("int")), "shard-placed")
     low = _below(placed.withColumn("_all", F.lit(0)), ["_all"], "_f").drop("_all")
     inner = F.row_number().over(W.partitionBy("_f").orderBy("fraction", F.xxhash64(F.lit(seed), "_source"), "_source", *order)) - 1
-    dealt = placed.withColumn("_rank", inner).join(F.broadcast(low), "_f")  # at most ``buckets`` rows
+    dealt = placed.withColumn("_rank", inner).join(low, "_f")  # a row a bucket
     shard = F.expr(f"cast(({shards} * (_below + _rank + 1) - 1) div _total as int)")
     dealt = dealt.withColumn("shard", shard).withColumn("slot", F.expr(f"_below + _rank - (shard * _total) div {shards}"))
     source = F.when(F.col("_source") != "", F.substring("_source", 2, 1 << 30)).alias("source")

@@ -3,7 +3,9 @@
 From each rule's regular expression a Boolean query of trigrams is derived that every match satisfies.  The index holds
 postings (trigram, document) for the trigrams the queries ask for; postings are intersected document by document, and
 only the documents that satisfy a rule's query are verified with its expression.  Rules without mandatory trigrams scan
-every document.  All of it is DataFrame functions; postings never leave their rows for a list of unbounded length.
+every document.  The candidates' ids are written first: few enough of them are broadcast, so that no text is shuffled;
+more go through a shuffled join.  All of it is DataFrame functions; postings never leave their rows for a list of
+unbounded length.
 """
 
 from __future__ import annotations
@@ -185,21 +187,24 @@ def scanned(docs: DataFrame, index: Index | None = None) -> DataFrame:
     columns pass through.
     """
     index = index or Index()
-    name, key = common.spare(docs, "secrets"), common.spare(docs, "_text_hash")
+    name, own = common.spare(docs, "secrets"), common.private(docs)
     ids = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    cand = index.candidates(index.postings(ids)).withColumnRenamed("doc_id", "_cand_id").withColumnRenamed("text_hash", "_cand_hash")
-    cols = docs.columns
-    left = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
-    joined = left.join(cand.hint("shuffle_hash"), left["doc_id"].eqNullSafe(F.col("_cand_id")) & (left[key] == F.col("_cand_hash")), "left")
-    text, spans = F.col("text").cast("string"), []
+    cand = index.candidates(index.postings(ids))
+    cand = common.cut(cand.select(*[F.col(c).alias(own + c) for c in cand.columns]), "secret-candidates")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    text, key = F.col("text").cast("string"), f"{own}_key"
+    left = docs.withColumn(key, F.xxhash64(text))
+    joined = left.join(common.small(cand), left["doc_id"].eqNullSafe(F.col(f"{own}doc_id")) & (left[key] == F.col(f"{own}text_hash")), "left")
+    none, spans = F.array().cast("array<string>"), []
     for k, r in enumerate(index.rules):
         all_ = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
         if index.queries[r.kind] is not ALL:
-            all_ = F.when(F.col(f"_may_{r.kind}"), all_)
-        joined = joined.withColumn(f"_m{k}", F.coalesce(all_, F.array().cast("array<string>")))
+            all_ = F.when(F.col(f"{own}_may_{r.kind}"), all_)
+        joined = joined.withColumn(f"{own}_m{k}", F.coalesce(all_, none))
     for k, r in enumerate(index.rules):
         keep = (lambda s, p=r.pattern: F.length(F.regexp_extract(s, p, 2)) >= 6) if r.least else None
-        spans.append(F.when(F.size(f"_m{k}") > 0, find_spans(text, F.col(f"_m{k}"), r.pattern, r.kind, k, keep)).otherwise(F.array().cast(SPAN)))
+        found = F.col(f"{own}_m{k}")
+        spans.append(F.when(F.size(found) > 0, find_spans(text, found, r.pattern, r.kind, k, keep)).otherwise(F.array().cast(SPAN)))
     return joined.select(*cols, F.concat(*spans).alias(name))
 
 
@@ -211,11 +216,15 @@ def op5_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = {r.kind: count(r.kind) for r in RULES}
     base = F.filter("secrets", lambda x: x["rank"] < len(BASE))
-    return hits.select("doc_id", *[n[r.kind] for r in BASE], F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("secrets")).alias("spans"), *[n[r.kind] for r in MORE])
+    return hits.select("doc_id", *[n[r.kind] for r in BASE], F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("secrets")).alias("spans"), *[n[r.kind] for r in MORE], F.size("secrets").cast("long").alias("n_spans"))
 
 
 def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each secret span of the text replaced by ``mark`` (one for spans that overlap)."""
+    """``docs`` with each secret span of the text replaced by ``mark`` (one for spans that overlap).
+
+    Null, empty and clean texts stay as they are; repeated rows are each masked; other columns pass through; an empty
+    table gives an empty table.
+    """
     name = common.spare(docs, "secrets")
     found = scanned(docs)
     state = "struct<at:int,out:array<string>>"
@@ -227,4 +236,4 @@ def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
     redacted = F.aggregate(F.array_sort(name), first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.col("text").substr(a["at"] + 1, F.length("text"))))
     text = F.when(F.size(name) > 0, redacted).otherwise(F.col("text")).alias("text")
-    return found.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[text if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -142,7 +142,11 @@ def test_op4_long_documents_and_access(spark):
         f = arrow_ids.IdFile(base, r.file)
         assert f.slice(r.sequence * 8 + r.offset, r.n_tokens).tolist() == want
         ids, mask = f.sequence(r.sequence)
-        assert len(ids) == len(mask) == 8 and mask[r.offset]
+        assert len(ids) == len(mask) == 8 and mask[r.offset].as_py()
+        # views of the mapped file: nothing was allocated for them
+        before = arrow_ids.pa.total_allocated_bytes()
+        views = [f.sequence(k) for k in range(f.ids.num_record_batches)]
+        assert arrow_ids.pa.total_allocated_bytes() == before and not any(v[0].flags.owndata for v in views)
 
 
 def test_op4_chunks():
@@ -175,7 +179,28 @@ def test_op6_marks():
     c = chunk_bpe.codec(chunk_bpe.default_model())
     for t in ["", " ", "  ", "a ", "  a  ", "▁▁x ▁", "\na\n", "é" * 9, "😀 x"]:
         ids = c.sp.encode(t)
-        assert c.encode_decode(t) == (len(ids), ",".join(map(str, ids)), c.sp.decode(ids))
+        table = {w: c.segment(w) for w in c.chunks(t)}
+        assert c.encode_decode(t, table) == (len(ids), ",".join(map(str, ids)), c.sp.decode(ids))
+
+
+@pytest.mark.parametrize("most", [0, 40, 100_000])
+def test_op6_words_that_are_joined(spark, most):
+    """Whatever words the workers hold, ids and texts are the library's; others pass by a join."""
+    long = "z" * 500
+    rows = [(1, "a b  c a", 7), (1, "a b  c a", 8), (2, f"{long} a {long}", 9), (3, None, 1), (4, "", 2), (5, " ".join(f"w{i}" for i in range(300)), 3), (None, "b ▁ b", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h1 int")
+    sp = chunk_bpe.codec(chunk_bpe.default_model()).sp
+    got = {r.h1: (r.doc_id, *r.pieces) for r in chunk_bpe.digests(df, most=most).collect()}
+    ids = {r.h1: r.ids for r in chunk_bpe.encoded(df, most=most).collect()}
+    for d, t, k in rows:
+        want = sp.encode(t or "")
+        assert ids[k] == want and got[k] == (d, len(want), sha(",".join(map(str, want))), sha(sp.decode(want)))
+
+
+def test_op6_segments_each_word_once(spark, docs):
+    table = chunk_bpe.chunk_table(common.documents(spark, DIR).select("text"), chunk_bpe.default_model()).select("word", "uses").collect()
+    want = Counter(w for r in docs.values() if r.text for w in set(chunk_bpe.ChunkCodec.chunks(r.text)))
+    assert len(table) == len(want) and {r.word: r.uses for r in table} == want
 
 
 def test_op7(spark, docs):
