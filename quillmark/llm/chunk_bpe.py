@@ -4,8 +4,10 @@ Where no piece of the model holds a space mark after another character, no merge
 word.  So texts are cut into marked words (a run of marks and what follows up to the next mark).  The distinct words of
 all texts, counted within each partition before they are shuffled, make a table in which the library segments each word
 once; ids are joined back by a word's position in its text.  The words that most texts use, at most ``HOT``, are a file
-that every worker loads, so they are never shuffled with the texts; texts with other words get theirs by a join.  Models
-whose pieces or normalisation don't allow the cut are found when the model is loaded; their texts are encoded whole.
+that every worker loads, so they are never shuffled with the texts.  The rare others are either segmented where they
+stand, each once for a run of texts (``rare="segment"``, the table then holds frequent words only), or taken from the
+table by a join (``rare="join"``), which moves several times the input where most words are rare.  Models whose pieces or
+normalisation don't allow the cut are found when the model is loaded; their texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,6 +27,8 @@ from . import common
 HOT, LONGEST = 300_000, 64
 #: Distinct words that a worker counts before it passes them on.
 _COUNTED = 300_000
+#: Characters of texts whose rare words are segmented together.
+_RUN = 1 << 20
 MARK = "▁"
 #: Number of ids, the ids as text, the decoded text after one space.
 Entry = tuple[int, str, str]
@@ -46,10 +50,14 @@ class ChunkCodec:
 
     def segment(self, word: str) -> Entry:
         """The entry of a word whose first mark is left out, or of a whole text where the model allows no cuts."""
-        if not word and self.cuts:  # a mark alone; the library would add none to an empty text
-            return 1, str(self.sp.piece_to_id(MARK)), ""
-        ids = self.sp.encode(word)
-        return len(ids), ",".join(map(str, ids)), self.sp.decode(ids)
+        return self.segment_all([word])[0]
+
+    def segment_all(self, words: list[str]) -> list[Entry]:
+        ids = self.sp.encode(words, num_threads=1)
+        if self.cuts:  # a mark alone; the library would add none to an empty text
+            ids = [x if w else [self.sp.piece_to_id(MARK)] for x, w in zip(ids, words, strict=True)]
+        decoded = self.sp.decode(ids, num_threads=1) if ids else []
+        return [(len(x), ",".join(map(str, x)), d) for x, d in zip(ids, decoded, strict=True)]
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -69,6 +77,11 @@ class ChunkCodec:
             out.append(lead[1:])
         return out
 
+    def whole(self, found: list[Entry]) -> Entry:
+        """The entry of a text from those of its words, in order."""
+        # the library drops the first mark when it decodes; each further word gets its own back
+        return sum([x[0] for x in found]), ",".join([x[1] for x in found if x[0]]), " ".join([x[2] for x in found])
+
     def encode_decode(self, text: str, *tables: dict[str, Entry]) -> Entry | list[str]:
         """The entry of a whole text, put together by position from the tables; or the distinct words that none of them has."""
         if not text:
@@ -82,8 +95,17 @@ class ChunkCodec:
                 found = [x or table.get(w) for x, w in zip(found, words, strict=True)]
             if None in found:
                 return list({w for x, w in zip(found, words, strict=True) if x is None})
-        # the library drops the first mark when it decodes; each further word gets its own back
-        return sum([x[0] for x in found]), ",".join([x[1] for x in found if x[0]]), " ".join([x[2] for x in found])
+        return self.whole(found)
+
+    def encode_decode_all(self, texts: list[str], table: dict[str, Entry]) -> list[Entry]:
+        """The entries of some texts; each distinct word that the table has not is segmented once for all of them."""
+        if not self.cuts:
+            return [self.segment(t) if t else (0, "", "") for t in texts]
+        cut = [self.chunks(t) if t else [] for t in texts]
+        found = [list(map(table.get, words)) for words in cut]
+        rare = list({w for words, x in zip(cut, found, strict=True) if None in x for w, e in zip(words, x, strict=True) if e is None})
+        more = dict(zip(rare, self.segment_all(rare), strict=True))
+        return [self.whole(x if None not in x else [e or more[w] for e, w in zip(x, words, strict=True)]) if words else (0, "", "") for x, words in zip(found, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -119,32 +141,35 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def chunk_table(texts: DataFrame, model: str) -> DataFrame:
-    """word, uses, n, ids, decoded: each distinct marked word of ``texts`` (text), segmented once, in the shared folder."""
+def counted(texts: DataFrame) -> DataFrame:
+    """word, uses: each distinct marked word of ``texts`` (text) and the number of rows that hold it."""
+    return texts.where("text is not null").mapInArrow(_counted, "word string, uses bigint").groupBy("word").agg(F.sum("uses").alias("uses"))
+
+
+def segmented(words: DataFrame, model: str) -> DataFrame:
+    """word, uses, n, ids, decoded: ``words`` (word, uses), each segmented once, in the shared folder."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(model)
-        for words in batches:
-            rows = [c.segment(w) for w in words.to_pylist()]
+        for b in batches:
+            rows = c.segment_all(b.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["n", "ids", "decoded"])
 
-    words = texts.where("text is not null").mapInArrow(_counted, "word string, uses bigint").groupBy("word").agg(F.sum("uses").alias("uses"))
     return common.cut(words.select("word", "uses", F.arrow_udf(run, f"struct<{_ENTRY}>")("word").alias("e")).select("word", "uses", "e.*"), "pieces-table")
 
 
-def _hot(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """The written words of the highest use classes (powers of two) that are ``most`` at most, and whether those are all words."""
+def _frequent(words: DataFrame, most: int) -> tuple[Column, bool]:
+    """The condition that the words of the highest use classes (powers of two) meet, ``most`` at most, and whether those are all words."""
     short = F.length("word") <= LONGEST
-    classes = table.groupBy(F.floor(F.log2("uses")).alias("c"), short.alias("short")).agg(F.count("*").alias("n")).collect()  # some dozens of rows
+    classes = words.groupBy(F.floor(F.log2("uses")).alias("c"), short.alias("short")).agg(F.count("*").alias("n")).collect()  # some dozens of rows
     total, limit = 0, None
     for c in sorted({r.c for r in classes}, reverse=True):
         total += sum(r.n for r in classes if r.c == c and r.short)
         if total > most:
             break
         limit = c
-    kept = table.where(short & (F.col("uses") >= 2**limit)) if limit is not None else table.limit(0)
     whole = total <= most and all(r.short for r in classes)
-    return common.cut(kept.select("word", "n", "ids", "decoded"), "pieces-hot"), whole
+    return (short & (F.col("uses") >= 2**limit) if limit is not None else F.lit(False)), whole
 
 
 @lru_cache(maxsize=1)
@@ -185,8 +210,7 @@ def _first(model: str, hot: str, kind: str):
     result, arrow = _RESULTS[kind]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(model)
-        table = _loaded(hot) if c.cuts else {}
+        c, table = codec(model), _loaded(hot)
         for texts in batches:
             out = [c.encode_decode(t or "", table) for t in texts.to_pylist()]
             done = pa.array([result(x) if isinstance(x, tuple) else None for x in out], arrow)
@@ -195,6 +219,25 @@ def _first(model: str, hot: str, kind: str):
     return F.arrow_udf(run, f"struct<done: {kind}, missing: array<string>>")
 
 
+def _here(model: str, hot: str | None, kind: str):
+    """From texts: the result; words that aren't hot are segmented here, once for a run of texts."""
+    result, arrow = _RESULTS[kind]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c, table = codec(model), _loaded(hot) if hot else {}
+        for texts in batches:
+            out, rows, held, size = [], texts.to_pylist(), [], 0
+            for k, t in enumerate(rows):
+                held.append(t or "")
+                size += len(held[-1])
+                if size >= _RUN or k == len(rows) - 1:
+                    out += map(result, c.encode_decode_all(held, table))
+                    held, size = [], 0
+            yield pa.array(out, arrow)
+
+    return F.arrow_udf(run, kind)
+
+
 def _second(model: str, hot: str, kind: str):
     """From texts and the entries of their other words: the result."""
     result, arrow = _RESULTS[kind]
@@ -211,22 +254,27 @@ def _second(model: str, hot: str, kind: str):
     return F.arrow_udf(run, kind)
 
 
-def _segmented(docs: DataFrame, name: str, kind: str, model: str | None, most: int) -> DataFrame:
+def _segmented(docs: DataFrame, name: str, kind: str, model: str | None, most: int, rare: str) -> DataFrame:
+    if rare not in ("segment", "join"):
+        raise ValueError(f"rare words are 'segment'ed or 'join'ed, not {rare!r}")
     model, text = model or default_model(), F.col("text").cast("string")
     if not codec(model).cuts:
-        return docs.withColumn(name, _first(model, "", kind)(text)["done"])
-    table = chunk_table(docs.select(text.alias("text")), model)
-    hot, whole = _hot(table, most)
+        return docs.withColumn(name, _here(model, None, kind)(text))
+    words = common.cut(counted(docs.select(text.alias("text"))), "pieces-words")
+    frequent, whole = _frequent(words, most)
+    table = segmented(words if rare == "join" else words.where(frequent), model)
+    common.discard(words)
+    hot = common.cut(table.where(frequent).select("word", "n", "ids", "decoded"), "pieces-hot")
     path = _folder(hot)
-    if whole:
+    if whole or rare == "segment":
         common.discard(table)
-        return docs.withColumn(name, _first(model, path, kind)(text)["done"])
+        return docs.withColumn(name, _here(model, path, kind)(text))
 
     own = common.private(docs)
     keyed = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]  # equal texts have equal results
     first = common.cut(docs.select(*keyed, _first(model, path, kind)(text).alias("r")).select(*_KEY, "r.*"), "pieces-first")
-    words = first.where("missing is not null").select(*_KEY, F.explode("missing").alias("word")).distinct()
-    extra = words.join(table.drop("uses"), "word").groupBy(*_KEY).agg(F.collect_list(F.struct("word", "n", "ids", "decoded")).alias("extra"))
+    wanted = first.where("missing is not null").select(*_KEY, F.explode("missing").alias("word")).distinct()
+    extra = wanted.join(table.drop("uses"), "word").groupBy(*_KEY).agg(F.collect_list(F.struct("word", "n", "ids", "decoded")).alias("extra"))
     extra = common.cut(extra, "pieces-extra")
     texts = docs.select(*keyed, text.alias("text")).join(common.small(extra.select(*_KEY)), _KEY).dropDuplicates(_KEY)
     late = texts.join(extra, _KEY).select(*_KEY, _second(model, path, kind)("text", "extra").alias("done"))
@@ -243,19 +291,19 @@ def _folder(df: DataFrame) -> str:
     return df.inputFiles()[0].rsplit("/", 1)[0]
 
 
-def digests(docs: DataFrame, model: str | None = None, most: int = HOT) -> DataFrame:
+def digests(docs: DataFrame, model: str | None = None, most: int = HOT, rare: str = "segment") -> DataFrame:
     """``docs`` with a struct column ``pieces`` (underscores before the name where it is taken): n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have no ids and decode to the empty text.  Equal rows get equal results; an empty table gives
-    an empty table; other columns pass through.  ``most`` is the number of words that workers hold; results don't
-    depend on it.
+    an empty table; other columns pass through.  ``most`` is the number of words that workers hold, ``rare`` what is done
+    with others; results don't depend on them.
     """
-    return _segmented(docs, common.spare(docs, "pieces"), DIGEST, model, most)
+    return _segmented(docs, common.spare(docs, "pieces"), DIGEST, model, most, rare)
 
 
-def encoded(docs: DataFrame, model: str | None = None, most: int = HOT) -> DataFrame:
+def encoded(docs: DataFrame, model: str | None = None, most: int = HOT, rare: str = "segment") -> DataFrame:
     """``docs`` with an array column ``ids`` (underscores before the name where it is taken); otherwise like ``digests``."""
-    return _segmented(docs, common.spare(docs, "ids"), IDS, model, most)
+    return _segmented(docs, common.spare(docs, "ids"), IDS, model, most, rare)
 
 
 def op6_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
