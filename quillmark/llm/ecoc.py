@@ -4,7 +4,7 @@ Each language has a codeword of bits; a binary classifier over hashed character
 A text's language is the codeword with the smallest loss-weighted distance to the classifiers' margins; a small lead
 over the second flags ambiguity.  The classifiers are fitted on a bounded sample of labelled rows: of every language up
 to ``PER_LANG`` documents, fewer where there are so many languages that ``SAMPLE`` rows would be passed (but one at
-least), taken by a hash of doc_id.  Rows over ``LONGEST`` bytes are left out of it but for one where a language has no
+least, and about so many, as they are taken by a hash).  Rows over ``LONGEST`` bytes are left out of it but for one where a language has no
 other.  No language is left out.
 """
 
@@ -17,7 +17,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -111,19 +110,22 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
     """Fit on rows whose crc32(doc_id as text) mod 5 is not 0 and whose text and lang are there.
 
-    Rows are ranked by their ids' and texts' hashes within a language; a partition keeps its own first ones before any
-    are shuffled.  Equal rows count once.
+    Of each language the rows are taken whose hash lies in the part of the range that about ``share`` of its rows share, so
+    nothing is ranked or gathered.  Equal rows count once.
     """
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = usable.where("text is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
     usable = usable.withColumn("h", F.xxhash64("text")).withColumn("short", F.octet_length("text") <= longest)
-    langs = usable.agg(F.count_distinct("lang")).first()[0]
-    share = max(1, min(per_lang, sample // max(langs, 1)))
-    # a language of long texts only is learned from one of them
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("short"), F.xxhash64("doc_id"), "doc_id", "h"))
-    picked = usable.select("doc_id", "lang", "h", "short").withColumn("r", rank).where((F.col("r") <= share) & (F.col("short") | (F.col("r") == 1))).select("doc_id", "lang", "h")
-    # at most ``sample`` rows, or one a language
-    rows = usable.join(F.broadcast(picked.distinct()), ["doc_id", "lang", "h"], "left_semi").select("doc_id", "lang", "text").distinct().collect()
+    # a row a language; its first row, a short one if there is any, is always in the sample
+    first = F.min(F.struct((~F.col("short")).alias("long"), F.xxhash64("doc_id", "h").alias("x"), "doc_id", "h"))
+    langs = common.cut(usable.groupBy("lang").agg(F.count_if("short").alias("n"), first.alias("first")), "langs")
+    share = max(1, min(per_lang, sample // max(langs.count(), 1)))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "h"), 11) / float(1 << 53)  # from 0 to 1, so that about ``share`` rows are below their part
+    always = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    picked = usable.select("doc_id", "lang", "h", "short").join(F.broadcast(langs), "lang").where(F.col("short") & (place * F.col("n") < share) | always)
+    picked = common.cut(picked.select("doc_id", "lang", "h").distinct(), "lang-sample")
+    # about ``sample`` rows at most, or one a language
+    rows = usable.join(F.broadcast(picked), ["doc_id", "lang", "h"], "left_semi").select("doc_id", "lang", "text").distinct().collect()
     rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 

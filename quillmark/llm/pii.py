@@ -47,11 +47,11 @@ GENERATORS = (
     ("phone", r"(?<![0-9.+])\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9](?:[ .-]?[0-9]){8,18}(?![0-9])"),
     ("email", r"(?i)[a-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[a-z0-9-]{2,63}){1,3}"),
-    ("id", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7})(?![0-9A-Za-z])"),
+    ("id", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"),
 )
 KINDS = tuple(k for k, *_ in BASE) + ("id",)
 
-FEATURES = ("generator", "length", "digits", "separators", "distinct", "parens", "luhn", "phone_word", "money_word", "other_word", "mail_word", "marked", "suffix", "spaces", "glued")
+FEATURES = ("generator", "length", "digits", "separators", "distinct", "parens", "luhn", "phone_word", "money_word", "other_word", "mail_word", "verb", "bracketed", "dotted", "suffix", "spaces", "dashes", "glued")
 
 
 def features(g: Column, s: Column, before: Column, after: Column) -> list[Column]:
@@ -70,9 +70,12 @@ def features(g: Column, s: Column, before: Column, after: Column) -> list[Column
         one(low.rlike(r"card|visa|credit|account|iban|ssn|social|passport|tax|identi")),
         one(low.rlike(r"order|invoice|version|isbn|page|ref|qty|price|article|item|model|build|\bno\b|total|chapter")),
         one(low.rlike(r"mail|contact|write|reach|address|@")),
-        one(F.lower(s).rlike(r"[(\[](?:at|dot)[)\]]| dot ")),
+        one(low.rlike(r"\b(?:look|stay|was|is|are|were|live|arrive|meet|met)\b")),
+        one(F.lower(s).rlike(r"[(\[](?:at|dot)[)\]]")),
+        one(F.contains(F.lower(s), F.lit(" dot "))),
         one(F.lower(s).rlike(r"(?:com|org|net|edu|gov|de|fr|es|io|uk)$")),
         F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))),
+        F.length(s) - F.length(F.replace(s, F.lit("-"), F.lit(""))),
         one(after.rlike(r"^[A-Za-z0-9%]") | before.rlike(r"[A-Za-z0-9$#]$")),
     ]
 
@@ -88,7 +91,7 @@ CUES = {
     3: (("ssn ", "iban ", "passport ", "tax id "), ("model ", "build ", "article ", "chapter ", "ref ")),
 }
 #: The odds that a candidate is personal: with a cue for it, without a cue, with a cue against it.
-ODDS = {"strong": (0.99, 0.96, 0.12), "fair": (0.96, 0.45, 0.04), "weak": (0.35, 0.02, 0.01)}
+ODDS = {"strong": (0.99, 0.96, 0.12), "marked": (0.99, 0.97, 0.96), "fair": (0.96, 0.45, 0.04), "weak": (0.35, 0.02, 0.01)}
 
 
 def _candidate(r: random.Random, g: int) -> tuple[str, str]:
@@ -112,10 +115,10 @@ def _candidate(r: random.Random, g: int) -> tuple[str, str]:
         end = r.choice(("com", "org", "net", "de", "fr", "es", "io"))
         if kind == "strong":
             at, dot = r.choice(((" (at) ", "."), ("[at]", "[dot]"), ("(at)", " dot "), (" [at] ", " [dot] ")))
-            return f"{word()}{at}{word()}{dot}{end}", kind
+            return f"{word()}{at}{word()}{dot}{end}", "marked"
         return (f"{word()} at {word()}{r.choice((' dot ', '.'))}{end}", kind) if kind == "fair" else (f"{word()} at {word()}. {word().capitalize()}", kind)
     if kind == "strong":
-        iban = f"{r.choice(('DE', 'FR', 'ES', 'GB', 'IT', 'NL'))}{num(2)} " + " ".join(num(4) for _ in range(r.randint(4, 5)))
+        iban = f"{r.choice(('DE', 'FR', 'ES', 'GB', 'IT', 'NL'))}{num(2)} " + " ".join(num(4) for _ in range(r.randint(4, 5))) + r.choice(("", "", f" {num(2)}"))
         return r.choice((f"{num(3)}-{num(2)}-{num(4)}", iban)), kind
     return r.choice(("AB", "XK", "MO", "QR")) + num(2) + "".join(r.choice("ABCDEFGH0123") for _ in range(12)), "weak"
 
