@@ -119,7 +119,15 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.top_k(e, _queries(e)).select("query_id", "vec_id", "rank")
 
 
-@query()
+_NEAR = "list_max(list_transform(chosen, lambda x: list_sum(list_transform(list_zip(x.e, c.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))))"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT q.vec_id AS query_id, e.vec_id, e.embedding AS e, {_DOT} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM b),
+p AS (SELECT query_id, list({{'r': r, 'id': vec_id, 's': s, 'e': e}} ORDER BY r) AS pool FROM r WHERE r <= 15 GROUP BY query_id),
+m AS (SELECT query_id, pool, [pool[1]] AS chosen FROM p
+UNION ALL SELECT query_id, pool, list_append(chosen, pool[list_position(v, list_max(v))]) FROM (SELECT *, list_transform(pool, lambda c: CASE WHEN list_contains(list_transform(chosen, lambda x: x.r), c.r) THEN -9.0::DOUBLE ELSE 0.8::DOUBLE * c.s - (1 - 0.8::DOUBLE) * {_NEAR} END) AS v FROM m WHERE len(chosen) < least(5, len(pool))))
+SELECT query_id, i::INT AS rank, chosen[i].id AS vec_id FROM (SELECT *, unnest(range(1, len(chosen) + 1)) AS i FROM m WHERE len(chosen) = least(5, len(pool))) WHERE chosen[i].s >= -1""")
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     e = _read(spark, sf_dir, "embeddings")
@@ -155,8 +163,11 @@ def top_comments_per_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_per_group(_comments(spark, sf_dir), "conv_id", [F.desc(F.round("quality", 6)), "turn"], 5).select("conv_id", "turn", "rank")
 
 
-@query("""WITH m AS (SELECT event_id, ['advice','history','science','fact','verify','other'][event_id % 6 + 1] AS mode, 'q' || user_id AS q FROM events)
-SELECT event_id, mode, unnest(CASE mode WHEN 'history' THEN [q, q || ' history', q || ' timeline'] WHEN 'science' THEN [q, q || ' explanation', q || ' mechanism'] WHEN 'verify' THEN [q, q || ' evidence', q || ' fact check'] WHEN 'advice' THEN [q, q || ' tips'] ELSE [q] END) AS expanded,
+_EXPANDED = "CASE mode " + " ".join(f"WHEN '{m}' THEN [q, " + ", ".join(f"q || ' {x}'" for x in xs) + "]" for m, xs in routing.EXPANSIONS.items()) + " ELSE [q] END"
+
+
+@query(f"""WITH m AS (SELECT event_id, ['advice','history','science','fact','verify','other'][event_id % 6 + 1] AS mode, 'q' || user_id AS q FROM events)
+SELECT event_id, mode, unnest({_EXPANDED}) AS expanded,
 CASE mode WHEN 'fact' THEN 'article,forum' WHEN 'history' THEN 'article' WHEN 'science' THEN 'article' WHEN 'advice' THEN 'forum' WHEN 'verify' THEN 'forum' ELSE '' END AS sources FROM m""")
 def route_and_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = F.array(*map(F.lit, ("advice", "history", "science", "fact", "verify", "other")))
@@ -172,7 +183,7 @@ def predict_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = _read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("label")).agg(F.sum("value").alias("v"))
     p = p.withColumn("p", F.col("v") / F.sum("v").over(W.partitionBy("user_id")))
-    return routing.prediction(p, "user_id").withColumn("confidence", F.round("confidence", 9))
+    return routing.prediction(p, "user_id").drop("probabilities").withColumn("confidence", F.round("confidence", 9))
 
 
 _SENT = f"SELECT item_id, i AS ord, s[i] AS text, (item_id * 7 + i * 13) % 10 / 10.0::DOUBLE AS relevance, (i - 1) / len(s)::DOUBLE AS position FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, {_s('text')} AS s FROM benchmark))"
@@ -190,21 +201,47 @@ def sentence_pairs_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.sentence_pairs(_sentences(spark, sf_dir), "item_id", "ord").withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
+_LIKE = "list_filter(a.kept, lambda k: len(list_intersect(k.w, x.kept[1].w)) / greatest(len(list_distinct(list_concat(k.w, x.kept[1].w))), 1)::DOUBLE > 0.75)"
+_DEDUP = f"""WITH s AS ({_SENT}), w AS (SELECT item_id, ord, text, relevance, list_distinct({_w('lower(text)')}) AS w FROM s),
+g AS (SELECT item_id, list({{'kept': [{{'ord': ord, 'text': text, 'relevance': relevance, 'w': w}}]}} ORDER BY ord) AS xs FROM w GROUP BY item_id),
+f AS (SELECT item_id, list_reduce(xs, lambda a, x: {{'kept': CASE WHEN len({_LIKE}) = 0 THEN list_concat(a.kept, x.kept) WHEN x.kept[1].relevance > ({_LIKE})[1].relevance THEN list_concat(list_filter(a.kept, lambda k: k.ord <> ({_LIKE})[1].ord), x.kept) ELSE a.kept END}}).kept AS kept FROM g)"""
+
+
+@query(_DEDUP + " SELECT item_id, (i - 1)::INT AS pos, kept[i].ord AS sent_ord, kept[i].text AS text, kept[i].relevance AS relevance FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM f)")
 def dedup_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.deduplicated(_sentences(spark, sf_dir), "item_id", "ord")
 
 
-@query()
+# Sentences of an item by TextRank: similarities as lists of lists, 30 rounds as a recursion
+_RANKED = f"""WITH RECURSIVE s AS ({_SENT}), w AS (SELECT *, {_t('text')} AS w FROM s),
+g AS (SELECT item_id, list({{'ord': ord, 'text': text, 'relevance': relevance, 'position': position, 'w': w}} ORDER BY ord) AS xs FROM w GROUP BY item_id),
+m AS (SELECT *, list_transform(xs, lambda a: list_transform(xs, lambda b: CASE WHEN a.ord = b.ord OR len(a.w) = 0 OR len(b.w) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END)) AS sim FROM g),
+t AS (SELECT item_id, xs, sim, list_transform(sim, lambda r: list_sum(r)) AS total, 0 AS step, list_transform(xs, lambda x: 1.0::DOUBLE / len(xs)) AS s FROM m
+UNION ALL SELECT item_id, xs, sim, total, step + 1, list_transform(range(1, len(xs) + 1), lambda i: (1 - 0.85::DOUBLE) / len(xs) + 0.85::DOUBLE * list_sum(list_transform(range(1, len(xs) + 1), lambda j: CASE WHEN total[j] > 0 THEN sim[i][j] * (s[j] / total[j]) ELSE 0.0::DOUBLE END))) FROM t WHERE step < 30),
+z AS (SELECT item_id, len(xs) AS n, xs[i] AS x, s[i] AS s FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM t WHERE step = 30)),
+q AS (SELECT {_t("'than ingly heeaon'")} AS q),
+y AS (SELECT item_id, n, x.ord AS sent_ord, x.text AS text, (s + CASE WHEN len(q) > 0 AND len(x.w) > 0 THEN 0.3::DOUBLE * len(list_intersect(x.w, q)) / len(q) ELSE 0 END + 0.1::DOUBLE * (1 - x.position)) * x.relevance AS score FROM z, q),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, sent_ord) AS k FROM y)
+SELECT item_id, sent_ord::INT AS sent_ord, text FROM k WHERE k <= 3 OR n <= 3"""
+
+
+@query(_RANKED)
 def textrank_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.textrank(_sentences(spark, sf_dir), "item_id", "ord", F.lit("than ingly heeaon"), top=3).select("item_id", "sent_ord", "text")
 
 
-@query(f"""WITH s AS ({_SENT}) SELECT item_id, ord, CASE WHEN length(text) > 40 THEN regexp_replace(text[1:40], '\\.[^.]*$', '') || '.' ELSE text END AS point FROM
-(SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ord) AS k FROM s WHERE relevance >= 0.3) WHERE k <= 5""")
+_SIGNS = ("The main ", "Studies show that ", "and ", "As a result ", "so ")
+_SIGNAL = "(?i)" + "|".join(answer.KEY_POINTS)
+
+
+@query(f"""WITH s AS (SELECT doc_id, ord, {_list(_SIGNS)}[(doc_id + ord) % 5 + 1] || text AS text FROM (SELECT doc_id, i AS ord, s[i] AS text FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_s('text')} AS s FROM documents)))),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM s WHERE regexp_matches(text, '{_SIGNAL}'))
+SELECT doc_id, ord, md5(CASE WHEN length(trim(text)) > 150 THEN regexp_replace(trim(text)[1:150], '\\.[^.]*$', '') || '.' ELSE trim(text) END) AS point FROM k WHERE k <= 5""")
 def key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = ranking.top_per_group(_sentences(spark, sf_dir).where("relevance >= 0.3"), "item_id", ["ord"], 5)
-    return best.select("item_id", "ord", T.truncated(F.col("text"), 40).alias("point"))
+    signs = F.array(*map(F.lit, _SIGNS))
+    s = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "s")).withColumn("ord", F.col("p") + 1)
+    s = s.select("doc_id", "ord", F.concat(F.element_at(signs, ((F.col("doc_id") + F.col("ord")) % 5 + 1).cast("int")), "s").alias("text"))
+    return answer.key_points(s, "doc_id", "ord").select("doc_id", "ord", F.md5("point").alias("point"))
 
 
 @query("""WITH d AS (SELECT conv_id, turn, role AS title FROM conversations), l AS (SELECT *, lag(title) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM d),
@@ -276,13 +313,8 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.stats(_read(spark, sf_dir, "documents"), "lang", "source").withColumn("mean_length", F.round("mean_length", 6))
 
 
-@query("SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5)::INT AS fold FROM labels")
-def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intent.folds(_read(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "fold")
-
-
 @query("""SELECT doc_id, ((row_number() OVER (PARTITION BY quality ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT, doc_id) - 1) % 5)::INT AS fold FROM labels""")
-def label_ranked_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.stratified(_read(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "fold")
 
 
@@ -359,10 +391,25 @@ def augment_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.augment(b, "item_id")
 
 
-@query()
+_CLEAN = "list_reduce([html, 'style', 'script', 'sup'], lambda h, t: regexp_replace(h, '(?s)<' || t || '\\b.*?</' || t || '>', '', 'g'))"
+_PLAIN = "replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(piece, '<[^>]*>', '', 'g'), '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+# (page_id, section, title, level, ref_level, content) of the pages, cut at the tags that open or close headings, paragraphs, lists and items
+SECTIONS = f"""pc AS (SELECT page_id, unnest(x) AS piece, unnest(range(len(x))) AS nr FROM (SELECT page_id, string_split(regexp_replace(regexp_replace({_CLEAN}, '(?s)<!--.*?-->', '', 'g'), '(</?(?:h1|h2|h3|h4|p|li|ul|ol)\\b[^>]*>)', chr(1) || '\\1', 'g'), chr(1)) AS x FROM pages)),
+tg AS (SELECT *, regexp_extract(piece, '^<(h1|h2|h3|h4|p|li|ul|ol)\\b', 1) AS tag, {_PLAIN} AS plain FROM pc),
+od AS (SELECT *, sum(CASE WHEN tag IN ('', 'li') THEN 0 ELSE 1 END) OVER w - 1 AS ord, sum(CASE WHEN tag = 'li' THEN 1 ELSE 0 END) OVER w AS items FROM tg WINDOW w AS (PARTITION BY page_id ORDER BY nr)),
+hd AS (SELECT *, last_value(CASE WHEN tag[1] = 'h' THEN ord END IGNORE NULLS) OVER w AS section, last_value(CASE WHEN tag[1] = 'h' THEN plain END IGNORE NULLS) OVER w AS title, last_value(CASE WHEN tag[1] = 'h' THEN tag[2]::INT END IGNORE NULLS) OVER w AS level,
+first_value(CASE WHEN tag[1] = 'h' THEN tag[2]::INT END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY nr ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next, items - max(CASE WHEN tag IN ('ul', 'ol') THEN items ELSE 0 END) OVER w AS sub FROM od WINDOW w AS (PARTITION BY page_id ORDER BY nr ROWS UNBOUNDED PRECEDING)),
+ln AS (SELECT *, CASE WHEN tag = 'p' THEN regexp_replace(bare, '\\s+', ' ', 'g') ELSE bare END AS line FROM (SELECT *, regexp_replace(regexp_replace(plain, '^\\s+|\\s+$', '', 'g'), '\\[\\d+\\]', '', 'g') AS bare FROM hd)),
+se AS (SELECT page_id, section::INT AS section, any_value(title) AS title, any_value(level) AS level, coalesce(any_value(next), 2) AS ref_level, string_agg(CASE WHEN tag = 'li' THEN '• ' || line ELSE line END, ' ' ORDER BY nr) AS content FROM ln
+WHERE section IS NOT NULL AND lower(title) NOT IN {html.SKIP} AND (tag = 'p' AND length(line) > 20 OR tag = 'li' AND length(line) > 10 AND sub <= 10) GROUP BY page_id, section)"""
+HEADINGS = ("h1", "h2", "h3", "h4")
+
+
+@query(f"WITH {SECTIONS} SELECT page_id, section, title, level, ref_level, md5(content) AS content, len({_s('content')}) AS n_sentences, len({_w('content')}) AS word_count, regexp_matches(content, '\\[\\d+\\]') AS has_citations FROM se")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return html.sections(_read(spark, sf_dir, "pages"), "page_id", ("h1", "h2", "h3", "h4"))
+    s = html.sections(_read(spark, sf_dir, "pages"), "page_id", HEADINGS)
+    return s.select("page_id", "section", "title", "level", "ref_level", F.md5("content").alias("content"), F.size("sentences").alias("n_sentences"), "word_count", "has_citations")
 
 
 @query("""WITH k AS (SELECT md5('article:' || user_id) AS key, max(epoch(ts)) AS fetched_at FROM events GROUP BY ALL), n AS (SELECT epoch(max(ts)) AS now FROM events)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.text import jaccard, token_set, truncated, word_count, word_set
 from .ranking import top_per_group
 
-# Fixed values.
+# Evidence words for and against.
 CONFIRM = ("true", "correct", "accurate", "confirmed", "proven", "indeed", "actually", "verified", "supported", "evidence")
 DENY = ("false", "incorrect", "myth", "debunked", "misconception", "untrue", "no evidence", "disproven", "misleading", "wrong")
+# Signals of a key point.
 KEY_POINTS = (
     r"\b(main|key|important|significant|primary|major)\b",
     r"\b(because|therefore|consequently|as a result)\b",
@@ -19,6 +20,7 @@ KEY_POINTS = (
     r"\b(studies show|research indicates|evidence suggests)\b",
     r"\b(in conclusion|overall|in summary)\b",
 )
+# How answers begin, which are lists, which end with the note, and the texts around them.
 INTRO = {
     "advice": "Based on community discussions and expert recommendations:\n\n",
     "history": "Here's what historical sources indicate:\n\n",
@@ -29,6 +31,7 @@ BULLETS = ("advice", "verify")
 CAVEATS = ("advice", "science", "verify")
 NOTE = "\n\n*Note: This answer is synthesized from publicly available sources. For critical decisions, please consult authoritative sources or experts.*"
 NO_RESULT = "I couldn't find enough information to answer this question. Try rephrasing your query or asking something more specific."
+# Verdicts.
 VERDICTS = {
     "FALSE": "Mostly FALSE / Misleading ❌",
     "TRUE": "Mostly TRUE ✅",
@@ -50,7 +53,10 @@ def sentence_pairs(df: DataFrame, group: str, order: str, text: str = "text") ->
 
 
 def deduplicated(df: DataFrame, group: str, order: str, limit: float = 0.75) -> DataFrame:
-    """Greedy pass in order over (text, relevance): the first kept sentence that is too similar decides; the more relevant one stays, at the end."""
+    """Greedy pass in order over (text, relevance): the first kept sentence that is too similar decides; the more relevant one stays, at the end.
+
+    A group is one array, bounded as for ``textrank``.
+    """
     kind = f"array<struct<ord:bigint,text:string,relevance:double,w:array<string>>>"
     item = F.struct(F.col(order).cast("long").alias("ord"), F.col("text"), F.col("relevance"), word_set(F.col("text")).alias("w"))
     lists = df.groupBy(group).agg(F.array_sort(F.collect_list(item)).cast(kind).alias("xs"))
@@ -65,7 +71,11 @@ def deduplicated(df: DataFrame, group: str, order: str, limit: float = 0.75) ->
 
 
 def textrank(df: DataFrame, group: str, order: str, query: Column, top: int = 10, steps: int = 30, damping: float = 0.85) -> DataFrame:
-    """Sentences of a group by TextRank over token-set similarity, with query overlap, position and relevance; the best in their order."""
+    """Sentences of a group by TextRank over token-set similarity, with query overlap, position and relevance; the best in their order.
+
+    Scores that agree in 12 digits tie, in favour of the earlier sentence.  A group is one array: the sentences of the
+    chunks that answer one question, some hundreds at most; groups without a bound must be cut down before.
+    """
     item = F.struct(F.col(order).cast("int").alias("ord"), F.col("text"), F.col("relevance"), F.col("position"), token_set(F.col("text")).alias("w"))
     g = df.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("xs"), F.first(token_set(query)).alias("q"))
     g = g.withColumn("sim", F.transform("xs", lambda a: F.transform("xs", lambda b: F.when(a["ord"] == b["ord"], 0.0).otherwise(jaccard(a["w"], b["w"])))))
@@ -80,7 +90,7 @@ def textrank(df: DataFrame, group: str, order: str, query: Column, top: int = 10
     rows = g.select(group, n.alias("n"), "q", F.explode(F.arrays_zip("xs", "s")).alias("z")).select(group, "n", "q", "z.xs.*", "z.s")
     overlap = F.when((F.size("q") > 0) & (F.size("w") > 0), 0.3 * F.size(F.array_intersect("w", "q")) / F.size("q")).otherwise(0.0)
     scored = rows.withColumn("score", (F.col("s") + overlap + 0.1 * (1 - F.col("position"))) * F.col("relevance"))
-    ranked = scored.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), "ord")))
+    ranked = scored.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(F.desc(F.round("score", 12)), "ord")))
     return ranked.where((F.col("_r") <= top) | (F.col("n") <= top)).select(group, F.col("ord").alias("sent_ord"), "text", "score")
 
 
@@ -110,9 +120,16 @@ def citations(df: DataFrame, group: str, order: str, url: str) -> DataFrame:
     return first.withColumn("citation", F.row_number().over(W.partitionBy(group).orderBy(order)))
 
 
-def confidence(df: DataFrame, group: str) -> DataFrame:
-    """From (score, url, source, sentences): mean score, URLs, source kinds and sentences."""
-    a = df.groupBy(group).agg(F.avg("score").alias("m"), F.countDistinct("url").alias("u"), F.countDistinct("source").alias("t"), F.sum("n_sentences").alias("s"))
+def confidence(df: DataFrame, group: str, sentences: DataFrame | None = None) -> DataFrame:
+    """From chunks (score, url, source): mean score, URLs, source kinds and sentences.
+
+    The sentences are the sum of ``n_sentences``, or in ``sentences`` (group, n_sentences).
+    """
+    found = [F.avg("score").alias("m"), F.countDistinct("url").alias("u"), F.countDistinct("source").alias("t")]
+    if sentences is None:
+        a = df.groupBy(group).agg(*found, F.sum("n_sentences").alias("s"))
+    else:
+        a = df.groupBy(group).agg(*found).join(sentences.select(group, F.col("n_sentences").alias("s")), group, "left").fillna(0, ["s"])
     c = 0.4 * F.col("m") + 0.25 * F.least(F.col("u") / 3, F.lit(1.0)) + 0.15 * F.when(F.col("t") > 1, 1.0).otherwise(0.8) + 0.2 * F.least(F.col("s") / 10, F.lit(1.0))
     return a.select(group, F.round(F.least(c, F.lit(1.0)), 3).alias("confidence"))
 
@@ -164,6 +181,14 @@ def footer(cited: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.concat(F.lit(FOOTER), F.array_join(_texts("_line"), "")).alias("footer"))
 
 
+def metadata(chunks: DataFrame, extracted: DataFrame, unique: DataFrame, group: str) -> DataFrame:
+    """group, chunks_used, sentences_extracted, unique_sentences, from_articles and from_forums of every group of ``chunks`` (source)."""
+    used = chunks.groupBy(group).agg(F.count("*").alias("chunks_used"), F.count_if(F.col("source") == "article").alias("from_articles"), F.count_if(F.col("source") == "forum").alias("from_forums"))
+    count = lambda df, name: df.groupBy(group).agg(F.count("*").alias(name))
+    out = used.join(count(extracted, "sentences_extracted"), group, "left").join(count(unique, "unique_sentences"), group, "left")
+    return out.fillna(0, ["sentences_extracted", "unique_sentences"])
+
+
 def complete(queries: DataFrame, answers: DataFrame, footers: DataFrame, group: str) -> DataFrame:
     """An answer for each of ``queries``: its text and sources, or the no-result text with confidence 0."""
     out = queries.join(answers, group, "left").join(footers, group, "left")

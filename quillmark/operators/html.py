@@ -1,4 +1,4 @@
-"""HTML sections: a parser UDF lists elements in document order; grouping into sections is relational."""
+"""Article pages: one parse a page lists its elements and facts; grouping into sections is relational."""
 
 from __future__ import annotations
 
@@ -7,76 +7,222 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import sentences, word_count
+
+# Titles of sections that are left out, and the class of a heading's own text.
 SKIP = ("see also", "references", "external links", "further reading", "notes", "bibliography", "sources", "citations")
+HEADLINE = "mw-headline"
 _DROP = {"sup", "style", "script"}
-_ITEM = "array<struct<ord:int,tag:string,text:string>>"
-
-
-class _Walker(HTMLParser):
-    """Headings, paragraphs and list items in order, without what stands in dropped elements.  A block tag ends an open one."""
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_KIND = pa.struct(
+    [
+        ("items", pa.list_(pa.struct([("ord", pa.int32()), ("sub", pa.int32()), ("tag", pa.string()), ("text", pa.string())]))),
+        ("infobox", pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))),
+        ("n_references", pa.int32()),
+        ("disambiguation", pa.bool_()),
+        ("text", pa.string()),
+    ]
+)
+_SQL = "struct<items:array<struct<ord:int,sub:int,tag:string,text:string>>,infobox:array<struct<key:string,value:string>>,n_references:int,disambiguation:boolean,text:string>"
+
+
+class _Page(HTMLParser):
+    """Elements in document order without what stands in dropped ones.
+
+    A heading, paragraph or list tag ends an open heading or paragraph, a list item one of the same list.  An item
+    stands in each list around it, and its text holds that of the lists inside it.
+    """
 
     def __init__(self, headings: frozenset[str]):
         super().__init__(convert_charrefs=True)
-        self.keep = headings | {"p", "li"}
-        self.items: list[tuple[str, list[str]]] = []
-        self.open: list[str] | None = None
-        self.dropped = 0
+        self.headings = headings
+        self.n, self.dropped = 0, 0
+        self.items: list[tuple[int, int, str, list[str]]] = []
+        self.block: list[str] | None = None
+        self.headline: list[str] | None = None
+        self.spans: list[bool] = []
+        self.lists: list[tuple[int, list[list[str]]]] = []  # number, items so far
+        self.open_items: list[tuple[int, list[str]]] = []  # depth of the list, text
+        self.seen_box, self.box = False, 0  # tables open within the infobox
+        self.rows: list[dict[str, list[str]]] = []
+        self.cells: list[list[str]] = []
+        self.pairs: list[tuple[str, str]] = []
+        self.references: int | None = None
+        self.reference_depth = 0
+        self.disambiguation = False
+        self.all: list[str] = []
 
     def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        classes = a.get("class", "").split()
         if tag in _DROP:
             self.dropped += 1
-        elif tag in self.keep:
-            self.open = []
-            self.items.append((tag, self.open))
+        elif tag in self.headings or tag == "p":
+            self.block = []
+            self.headline, self.spans = None, []
+            self.items.append((self.n, 0, tag, self.block))
+            self.n += 1
+        elif tag == "span" and self.block is not None:
+            mine = HEADLINE in classes and self.headline is None and self.items[-1][2] in self.headings
+            self.spans.append(mine)
+            if mine:
+                self.headline = []
+                self.items[-1] = (*self.items[-1][:3], self.headline)
+        elif tag in ("ul", "ol"):
+            self.block = None
+            self.lists.append((self.n, []))
+            self.n += 1
+            if tag == "ol" and self.references is None and "references" in classes:
+                self.references, self.reference_depth = 0, len(self.lists)
+        elif tag == "li":
+            self.block = None
+            while self.open_items and self.open_items[-1][0] >= len(self.lists):
+                self.open_items.pop()
+            text: list[str] = []
+            self.open_items.append((len(self.lists), text))
+            for number, held in self.lists:
+                held.append(text)
+                self.items.append((number, len(held), "li", text))
+            if self.reference_depth:
+                self.references += 1
+        elif tag == "table":
+            self.disambiguation |= a.get("id") == "disambig"
+            if self.box:
+                self.box += 1
+            elif not self.seen_box and "infobox" in classes:
+                self.seen_box, self.box = True, 1
+        elif tag == "tr" and self.box:
+            self.rows.append({})
+        elif tag in ("th", "td") and self.box and self.rows:
+            cell: list[str] = []
+            self.cells.append(cell)
+            self.rows[-1].setdefault(tag, cell)
+        elif tag == "div":
+            self.disambiguation |= "dmbox" in classes
 
     def handle_endtag(self, tag):
         if tag in _DROP:
             self.dropped = max(0, self.dropped - 1)
-        elif tag in self.keep:
-            self.open = None
+        elif tag in self.headings or tag == "p":
+            self.block = None
+        elif tag == "span" and self.spans:
+            if self.spans.pop():
+                self.block = None  # what follows the headline in its heading is no title
+        elif tag in ("ul", "ol") and self.lists:
+            self.block = None
+            while self.open_items and self.open_items[-1][0] >= len(self.lists):
+                self.open_items.pop()
+            if self.reference_depth == len(self.lists):
+                self.reference_depth = 0
+            self.lists.pop()
+        elif tag == "li" and self.open_items:
+            self.block = None
+            self.open_items.pop()
+        elif tag in ("th", "td") and self.box and self.cells:
+            self.cells.pop()
+        elif tag == "tr" and self.box and self.rows:
+            self._row(self.rows.pop())
+        elif tag == "table" and self.box:
+            self.box -= 1
 
     def handle_data(self, data):
-        if self.open is not None and not self.dropped:
-            self.open.append(data)
-
-
-def elements(html: str | None, headings: frozenset[str]) -> list[dict]:
-    w = _Walker(headings)
-    w.feed(html or "")
-    w.close()
-    return [{"ord": i, "tag": t, "text": "".join(x)} for i, (t, x) in enumerate(w.items)]
-
-
-def sections(pages: DataFrame, key: str, headings: tuple[str, ...] = ("h2", "h3", "h4")) -> DataFrame:
-    """key, section, title, level, content, word_count.  Text before the first heading and skipped titles are left out."""
+        if self.dropped:
+            return
+        self.all.append(data)
+        if self.headline is not None and self.spans and any(self.spans):
+            self.headline.append(data)
+        elif self.block is not None and self.headline is None:
+            self.block.append(data)
+        for _, text in self.open_items:
+            text.append(data)
+        for cell in self.cells:
+            cell.append(data)
+
+    def _row(self, cells: dict[str, list[str]]) -> None:
+        if "th" in cells and "td" in cells:
+            key = "".join(cells["th"]).strip()
+            value = re.sub(r"\s+", " ", re.sub(r"\[\d+\]", "", "".join(cells["td"]).strip()))
+            if key and value:
+                self.pairs.append((key, value))
+
+
+def parsed(html: str | None, headings: frozenset[str] = frozenset(("h2", "h3", "h4"))) -> dict:
+    """items (place, place in its list, tag, text), infobox, n_references, disambiguation and the bare text of a page."""
+    p = _Page(headings)
+    p.feed(html or "")
+    p.close()
+    for row in p.rows:
+        p._row(row)
+    items = sorted(p.items, key=lambda x: x[:2])
+    return {
+        "items": [{"ord": o, "sub": s, "tag": t, "text": "".join(x)} for o, s, t, x in items],
+        "infobox": [{"key": k, "value": v} for k, v in dict(p.pairs).items()],
+        "n_references": p.references or 0,
+        "disambiguation": p.disambiguation,
+        "text": "".join(p.all),
+    }
+
+
+def parse(html: Column, headings: tuple[str, ...] = ("h2", "h3", "h4")) -> Column:
+    """``parsed`` as a struct column; a null page is an empty one."""
     tags = frozenset(headings)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("ord", pa.int32()), ("tag", pa.string()), ("text", pa.string())]))
         for b in batches:
-            yield pa.array([elements(x.as_py(), tags) for x in b], type=kind)
+            yield pa.array([parsed(x, tags) for x in b.to_pylist()], type=_KIND)
+
+    return F.arrow_udf(run, _SQL)(html)
 
-    e = pages.select(key, F.explode(F.arrow_udf(run, _ITEM)("html")).alias("e")).select(key, "e.*")
-    w = W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    head = F.col("tag").isin(*headings)
-    e = e.withColumn("section", F.last(F.when(head, F.col("ord")), ignorenulls=True).over(w)).withColumn("title", F.last(F.when(head, F.col("text")), ignorenulls=True).over(w)).withColumn("level", F.last(F.when(head, F.col("tag")), ignorenulls=True).over(w))
+
+def sections(pages: DataFrame, key: str, headings: tuple[str, ...] = ("h2", "h3", "h4")) -> DataFrame:
+    """key, section, title, level, ref_level, content, sentences, word_count, has_citations, parent_section of ``pages`` (key, html).
+
+    Text before the first heading, skipped titles and sections without text are left out.  ``level`` is the section's own;
+    ``ref_level`` that of the next heading, 2 for the last section.  Markers like [1] are taken out before
+    ``has_citations`` looks for them; no section has a parent.
+    """
+    e = pages.select(key, F.explode(parse(F.col("html"), headings)["items"]).alias("e")).select(key, "e.*")
+    w = W.partitionBy(key).orderBy("ord", "sub")
+    head, upto = F.col("tag").isin(*headings), w.rowsBetween(W.unboundedPreceding, 0)
+    own = F.when(head, F.substring("tag", 2, 1).cast("int"))
+    e = e.withColumns(
+        {
+            "section": F.last(F.when(head, F.col("ord")), ignorenulls=True).over(upto),
+            "title": F.last(F.when(head, F.col("text")), ignorenulls=True).over(upto),
+            "level": F.last(own, ignorenulls=True).over(upto),
+            "next": F.first(own, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)),
+        }
+    )
     bare = F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\[\d+\]", "")
-    text = F.when(F.col("tag") == "p", F.regexp_replace(bare, r"\s+", " ")).otherwise(F.concat(F.lit("- "), bare))
-    nth = F.row_number().over(W.partitionBy(key, "section", "tag").orderBy("ord"))
-    body = e.withColumn("line", text).withColumn("nth", nth).where(~head & F.col("section").isNotNull() & ~F.lower("title").isin(*SKIP))
-    body = body.where(((F.col("tag") == "p") & (F.length("line") > 20)) | ((F.col("tag") == "li") & (F.length("line") > 12) & (F.col("nth") <= 10)))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
-    out = body.groupBy(key, "section").agg(F.first("title").alias("title"), F.substring(F.first("level"), 2, 1).cast("int").alias("level"), F.array_join(lines, "\n").alias("content"))
-    return out.withColumn("word_count", F.size(F.filter(F.split("content", r"\s+"), lambda x: x != "")))
-
-
-def infobox(html: str) -> dict[str, str]:
-    """Header and data cells of the first ``table.infobox``; a later key wins; blanks are dropped."""
-    m = re.search(r"<table[^>]*class=\"[^\"]*\binfobox\b.*?</table>", html or "", re.S)
-    pairs = re.findall(r"<th[^>]*>(.*?)</th>\s*<td[^>]*>(.*?)</td>", m[0], re.S) if m else []
-    clean = lambda x: re.sub(r"\s+", " ", re.sub(r"<[^>]+>|\[\d+\]", "", x)).strip()
-    return {clean(k): clean(v) for k, v in pairs if clean(k) and clean(v)}
+    line = F.when(F.col("tag") == "p", F.regexp_replace(bare, r"\s+", " ")).otherwise(bare)
+    body = e.withColumn("line", line).where(~head & F.col("section").isNotNull() & ~F.lower("title").isin(*SKIP))
+    body = body.where(((F.col("tag") == "p") & (F.length("line") > 20)) | ((F.col("tag") == "li") & (F.length("line") > 10) & (F.col("sub") <= 10)))
+    line = F.when(F.col("tag") == "li", F.concat(F.lit("• "), "line")).otherwise(F.col("line")).alias("line")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "sub", line))), lambda x: x["line"])
+    out = body.groupBy(key, "section").agg(F.first("title").alias("title"), F.first("level").alias("level"), F.coalesce(F.first("next"), F.lit(2)).alias("ref_level"), F.array_join(lines, " ").alias("content"))
+    text = F.col("content")
+    return out.withColumns({"sentences": sentences(text), "word_count": word_count(text), "has_citations": text.rlike(r"\[\d+\]"), "parent_section": F.lit(None).cast("string")})
+
+
+def facts(pages: DataFrame, key: str) -> DataFrame:
+    """key, infobox (a map), n_references and disambiguation of ``pages`` (key, html)."""
+    p = pages.select(key, parse(F.col("html")).alias("_p"))
+    return p.select(key, F.map_from_entries("_p.infobox").alias("infobox"), F.col("_p.n_references").alias("n_references"), F.col("_p.disambiguation").alias("disambiguation"))
+
+
+def stripped(html: Column) -> Column:
+    """The text of a piece of HTML."""
+    return parse(html)["text"]
+
+
+def articles(pages: DataFrame, key: str, headings: tuple[str, ...] = ("h2", "h3", "h4")) -> DataFrame:
+    """``pages`` (key, html, further columns) with sections (an array in order), total_word_count, infobox, n_references and disambiguation in place of html."""
+    s = sections(pages.select(key, "html"), key, headings)
+    one = F.struct("section", "title", "level", "content", "sentences", "word_count", "has_citations")
+    s = s.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("sections"), F.sum("word_count").alias("total_word_count"))
+    out = pages.drop("html").join(facts(pages.select(key, "html"), key), key).join(s, key, "left")
+    return out.withColumn("total_word_count", F.coalesce("total_word_count", F.lit(0)))

@@ -75,18 +75,29 @@ def scored(index: DataFrame, queries: DataFrame, best: int) -> DataFrame:
     return two.select(F.explode(F.arrow_udf(run, result)("vs", "qs")).alias("r")).select("r.*")
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.3) -> DataFrame:
-    """The k best by score (ties by vec_id), then those at or above the floor."""
+def scored_own(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """Like ``scored``, of every query and the vectors of ``index`` that have its query_id; with the queries' ``top_k`` if they have one."""
+    more = ["top_k"] if "top_k" in queries.columns else []
+    return index.join(queries, "query_id").select("query_id", "vec_id", "embedding", dot(F.col("embedding"), F.col("query")).alias("score"), *more)
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.3, own: bool = False) -> DataFrame:
+    """The k best by score (ties by vec_id), then those at or above the floor; of the query's own vectors only if ``own``."""
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = scored(index, queries, k).drop("embedding").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = (scored_own(index, queries) if own else scored(index, queries, k)).drop("embedding").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.where(F.col("score") >= floor)
 
 
-def mmr(index: DataFrame, queries: DataFrame, k: int = 5, weight: float = 0.8, floor: float = 0.3) -> DataFrame:
-    """Diverse top k from the 3k best: each pick maximises weight * score - (1 - weight) * highest similarity to the picks before."""
+def mmr(index: DataFrame, queries: DataFrame, k: int = 5, weight: float = 0.8, floor: float = 0.3, own: bool = False) -> DataFrame:
+    """Diverse top k from the 3k best: each pick maximises weight * score - (1 - weight) * highest similarity to the picks before.
+
+    With ``own``, each query searches its own vectors, and a column ``top_k`` of ``queries`` is its k.
+    """
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pool = scored(index, queries, 3 * k).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3 * k)
-    pool = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", "vec_id", "score", "embedding"))).alias("pool"))
+    near = scored_own(index, queries) if own else scored(index, queries, 3 * k)
+    most = F.col("top_k") if "top_k" in near.columns else F.lit(k)
+    pool = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3 * most)
+    pool = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", "vec_id", "score", "embedding"))).alias("pool"), F.first(most).alias("_k"))
     kind = "array<struct<_r:int,vec_id:bigint,score:double,embedding:array<float>>>"
 
     def pick(chosen: Column, _: Column) -> Column:
@@ -99,6 +110,6 @@ def mmr(index: DataFrame, queries: DataFrame, k: int = 5, weight: float = 0.8, f
         ranked = F.array_sort(F.transform(rest, lambda c: F.named_struct(F.lit("v"), -value(c), F.lit("_r"), c["_r"])))
         return F.when(F.size(rest) == 0, chosen).otherwise(F.concat(chosen, F.filter(rest, lambda c: c["_r"] == ranked[0]["_r"])))
 
-    picked = pool.select("query_id", F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.array().cast(kind), lambda a, i: pick(a, i).cast(kind)).alias("p"))
+    picked = pool.select("query_id", F.aggregate(F.sequence(F.lit(1), F.col("_k")), F.array().cast(kind), lambda a, i: pick(a, i).cast(kind)).alias("p"))
     out = picked.select("query_id", F.posexplode("p").alias("rank", "c"))
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), "c.vec_id", "c.score").where(F.col("score") >= floor)
