@@ -23,9 +23,9 @@ from . import common
 
 #: Notices of each family, as words in lower case.
 TEMPLATES = {
-    "agpl": ("licensed under the gnu affero general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "released under the agpl version 3", "gnu agpl v3"),
-    "apache-2.0": ("licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "released under the apache software license 2.0", "apache 2.0 license"),
-    "artistic": ("licensed under the artistic license 2.0", "you may redistribute it under the terms of the artistic license"),
+    "agpl": ("licensed under the gnu affero general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "gnu affero general public license version 3", "released under the agpl version 3", "gnu agpl v3"),
+    "apache-2.0": ("licensed under the apache license version 2.0", "licensed under the apache license version 2.0 you may not use this file except in compliance with the license", "released under the apache software license 2.0", "apache license version 2.0", "apache 2.0 license"),
+    "artistic": ("licensed under the artistic license 2.0", "redistributed under the terms of the artistic license"),
     "boost": ("distributed under the boost software license version 1.0", "licensed under the boost software license"),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "licensed under the 3-clause bsd license", "released under the bsd license", "use of this source code is governed by a bsd style license"),
     "cc-by": ("licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "this work is licensed under cc by 3.0"),
@@ -33,17 +33,17 @@ TEMPLATES = {
     "cc-by-nc-nd": ("licensed under a creative commons attribution non commercial no derivatives license", "licensed under cc by-nc-nd 4.0"),
     "cc-by-nc-sa": ("licensed under a creative commons attribution non commercial share alike license", "licensed under cc by-nc-sa 4.0"),
     "cc-by-nd": ("licensed under a creative commons attribution no derivatives 4.0 license", "licensed under cc by-nd 4.0"),
-    "cc-by-sa": ("licensed under a creative commons attribution share alike 4.0 license", "licensed under cc by-sa 4.0", "text is available under cc by-sa 3.0"),
+    "cc-by-sa": ("licensed under a creative commons attribution share alike 4.0 license", "licensed under cc by-sa 4.0", "available under cc by-sa 3.0"),
     "cddl": ("licensed under the common development and distribution license version 1.0", "released under the cddl 1.0"),
     "epl": ("licensed under the eclipse public license 2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", "released under the epl 2.0"),
     "eupl": ("licensed under the european union public licence 1.2", "licensed under the eupl version 1.2"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "licensed under the gpl version 2 or later", "gnu gpl v3"),
+    "gpl": ("this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license version 3", "licensed under the gpl version 2 or later", "gnu gpl v3"),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "licensed under the isc license", "isc license"),
-    "lgpl": ("licensed under the gnu lesser general public license", "this library is free software released under the lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    "lgpl": ("licensed under the gnu lesser general public license", "gnu lesser general public license version 2.1", "this library is free software released under the lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     "mit": ("released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge to any person obtaining a copy of this software", "mit license"),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2.0", "released under the mozilla public license 2.0", "licensed under the mpl 2.0"),
+    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2.0", "released under the mozilla public license 2.0", "mozilla public license version 2.0", "licensed under the mpl 2.0"),
     "ofl": ("this font software is licensed under the sil open font license version 1.1", "licensed under the sil ofl 1.1"),
-    "proprietary": ("copyright all rights reserved", "all rights reserved no part of this publication may be reproduced", "proprietary and confidential unauthorized copying is strictly prohibited"),
+    "proprietary": ("copyright all rights reserved", "no part of this publication may be reproduced without prior written permission of the publisher", "proprietary and confidential unauthorized copying is strictly prohibited"),
     "public-domain": ("dedicated to the public domain under cc0 1.0 universal", "released into the public domain", "no rights reserved cc0"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "released under the unlicense"),
     "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "licensed under the zlib license"),
@@ -163,6 +163,18 @@ def mandatory() -> list[str]:
     return sorted(out)
 
 
+def any_of(words: list[str]) -> str:
+    """One expression for any of ``words``, branching letter by letter, so that few branches are tried at a place."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    parts = [("\\" + c if c in ".-" else c) + any_of(rest) for c, rest in sorted(heads.items())]
+    if not parts:
+        return ""
+    return "(?:" + "|".join(parts) + ")" + ("?" if "" in words else "") if len(parts) > 1 or "" in words else parts[0]
+
+
 def span() -> int:
     """The words of the longest template: windows of twice as many words, so many apart, hold any notice of this length whole."""
     return max(len(tokens(t)) for ts in TEMPLATES.values() for t in ts)
@@ -175,7 +187,7 @@ def paragraph_licenses(docs: DataFrame) -> DataFrame:
     ``docs`` are left out.
     """
     classes, weights, bias, temperature = fitted()
-    some = "(?<![a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in mandatory()) + ")"
+    some = "(?<![a-z0-9])" + any_of(mandatory()) + "(?![a-z0-9])"
     table = F.from_json(F.lit(json.dumps([{"g": g, "w": w} for g, w in weights.items()])), "array<struct<g:string,w:array<bigint>>>")
     spark = docs.sparkSession
     known = spark.range(1).select(F.explode(table).alias("e")).select("e.g", "e.w")  # a row an n-gram of the vocabulary
