@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
 
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,7 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read
+from ..session import cut, fresh_path, read, shared_dir
+
+__all__ = ["cut", "fresh_path", "shared_dir"]
 
 #: A word is a run of anything but the space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,28 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="quillmark-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder; on a cluster that is an error, as no folder would be shared.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_dir()
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/quillmark/{name}-{uuid.uuid4().hex}"
-
-
 def filesystem(uri: str):
     """The Arrow file system of a folder's URI, for workers, and the path in it."""
     from pyarrow import fs
@@ -53,13 +30,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: short lineage, and a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind frames made by ``cut`` once nothing reads them any more."""
     for df in frames:
