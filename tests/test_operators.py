@@ -95,11 +95,16 @@ def test_scores(spark):
 
 
 def test_routing(spark):
-    assert one(spark, routing.expanded(F.lit("q"), F.lit("verify"))) == ["q", "q evidence", "q fact check"]
+    assert one(spark, routing.expanded(F.lit("q"), F.lit("verify"))) == ["q", "q myth misconception", "q scientific evidence"]
     assert one(spark, routing.sources(F.lit("fact"))) == ["article", "forum"]
     assert one(spark, routing.sources(F.lit("other"))) == []
     p = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.4), (1, "c", 0.1)], "k int, label string, p double")
-    assert tuple(routing.prediction(p, "k").first()) == (1, "a", 0.5, True)
+    assert tuple(routing.prediction(p, "k").first()) == (1, "a", 0.5, True, {"a": 0.5, "b": 0.4, "c": 0.1})
+    assert one(spark, routing.forums(F.lit(None).cast("string"))) == one(spark, routing.forums(F.lit("other"))) == list(routing.FORUMS["fact"][:3])
+    assert tuple(one(spark, routing.overridden(F.lit("FACT"), F.lit("x"), F.lit(0.2)))) == ("fact", 1.0, True)
+    assert tuple(one(spark, routing.overridden(F.lit(None).cast("string"), F.lit("x"), F.lit(0.2)))) == ("x", 0.2, False)
+    errors = [one(spark, routing.request_errors(F.lit(q).cast("string"), F.lit(k).cast("int"))) for q, k in (("ab", 0), ("abc", 20), ("x" * 501, 21), (None, None))]
+    assert errors == [["query", "top_k"], [], ["query", "top_k"], ["query"]]
 
 
 def test_dedup_order(spark):
@@ -121,12 +126,31 @@ def test_textrank_against_plain_iteration(spark):
     assert all(abs(got[i] - want[i]) < 1e-9 for i in range(4))
 
 
-def test_html(spark):
-    page = "<p>lead text that is long enough</p><h2>One</h2><p>a paragraph with<sup>[1]</sup> enough  words [2]<p>unclosed but long enough text<h3>See also</h3><p>skipped paragraph, long enough</p><h2>Two</h2><ul><li>first item long</li><li>x</li></ul>"
-    df = spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")
-    got = [(r.title, r.level, r.content) for r in html.sections(df, "page_id").orderBy("section").collect()]
-    assert got == [("One", 2, "a paragraph with enough words \nunclosed but long enough text"), ("Two", 2, "- first item long")]
-    assert html.infobox('<table class="infobox x"><tr><th>A</th><td>1</td></tr><tr><th>A</th><td> 2<b>3</b></td></tr></table>') == {"A": "23"}
+def test_html_sections(spark):
+    page = (
+        "<p>lead text that is long enough</p><h2><span class='mw-headline'>One</span><span>[edit]</span></h2>"
+        "<p>a paragraph with<sup>[1]</sup> enough  words [2]<p>unclosed but long enough text"
+        "<h3>See also</h3><p>skipped paragraph, long enough</p><h4>Empty</h4><p>short</p>"
+        "<h2>Two</h2><ul><li>first item long</li><li>x</li><li>outer item<ol><li>inner item, long</li></ol></li></ul>"
+    )
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<h2>T</h2>" + "<ul>" + "".join(f"<li>list item no {i}</li>" for i in range(14)) + "</ul>")], "page_id int, html string")
+    got = [(r.page_id, r.title, r.level, r.ref_level, r.content) for r in html.sections(df, "page_id").orderBy("page_id", "section").collect()]
+    assert got[:2] == [
+        (1, "One", 2, 3, "a paragraph with enough words  unclosed but long enough text"),
+        (1, "Two", 2, 2, "• first item long • outer iteminner item, long • inner item, long • inner item, long"),
+    ]
+    assert len(got) == 3 and got[2][4].count("•") == 10  # the first ten items
+
+
+def test_html_facts(spark):
+    page = '<table class="x infobox"><tr><th>A</th><td>1</td></tr><tr><th>A</th><td> 2<b>3</b>[4]</td></tr><tr><th>B</th><td> </td></tr><tr><td>no header</td></tr></table><table class="infobox"><tr><th>C</th><td>c</td></tr></table>'
+    refs = '<ol><li>x</li></ol><ol class="references"><li>a<ul><li>b</li></ul></li><li>c</li></ol><ol class="references"><li>d</li></ol><div class="dmbox y"></div>'
+    df = spark.createDataFrame([(1, page), (2, refs), (3, '<table id="disambig"></table>'), (4, None)], "page_id int, html string")
+    got = {r.page_id: (r.infobox, r.n_references, r.disambiguation) for r in html.facts(df, "page_id").collect()}
+    assert got == {1: ({"A": "23"}, 0, False), 2: ({}, 3, True), 3: ({}, 0, True), 4: ({}, 0, False)}
+    assert [r[0] for r in df.limit(1).select(html.stripped(F.lit("a <b>b</b> &amp; <i>c</i>"))).collect()] == ["a b & c"]
+    a = {r.page_id: r for r in html.articles(df, "page_id").collect()}
+    assert a[1].sections is None and a[1].total_word_count == 0 and a[2].n_references == 3
 
 
 def test_cache_and_feedback(spark, tmp_path):
@@ -156,6 +180,7 @@ def test_training(spark):
     rows = [(f"how to cook {w} well", "advice") for w in "abcdef"] + [(f"when did the {w} war begin", "history") for w in "abcdef"]
     df = spark.createDataFrame(rows, "text string, label string")
     m = intent.training_pipeline(10).fit(intent.balanced(df))
+    assert [s.__class__.__name__ for s in m.stages].count("LogCounts") == 1
     assert m.transform(df).where("prediction = target").count() == 12
     assert one(spark, intent.soft_vote([F.array(F.lit(1.0)), F.array(F.lit(0.0)), F.array(F.lit(0.0))], [2, 1, 1])) == [0.5]
 
