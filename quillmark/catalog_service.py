@@ -84,11 +84,11 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("page_id", F.size("infobox").alias("n_infobox"), "n_references", "disambiguation", "total_word_count")
 
 
-@query("SELECT doc_id, replace(replace(url_encode(replace(source || ' ' || lang || ' (' || doc_id || ')/é', ' ', '_')), '%2F', '/'), '%7E', '~') AS url, list_transform([lang, source], lambda c: c) AS categories FROM documents")
+@query("SELECT doc_id, replace(replace(url_encode(replace(source || ' ' || lang || ' (' || doc_id || ')/é', ' ', '_')), '%2F', '/'), '%7E', '~') AS url, lang || ',' || source AS categories FROM documents")
 def article_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat("source", F.lit(" "), "lang", F.lit(" ("), "doc_id", F.lit(")/é"))
     names = replay.category_names(F.array(F.concat(F.lit("Category:"), "lang"), F.concat(F.lit("Category:"), "source")))
-    return _read(spark, sf_dir, "documents").select("doc_id", T.quoted(title).alias("url"), names.alias("categories"))
+    return _read(spark, sf_dir, "documents").select("doc_id", T.quoted(title).alias("url"), F.array_join(names, ",").alias("categories"))
 
 
 # -- searches and fan-out --------------------------------------------------------------------------------------------------
