@@ -8,7 +8,8 @@ similarity of at least 0.16 with its window) is missed with probability below 2e
 share of the item's distinct shingles that the whole document holds.
 
 Items are a stated query set: they are sent to the executors in blocks of bounded rows and bytes, and every document is
-compared with each block.
+compared with each block.  One block is searched on the way; several are searched one after the other, each dropped
+before the next is sent, and their hits, keyed by the text's hashes, are joined back.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -155,12 +156,32 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT)
     null; empty tables give no matches; other columns pass through.
     """
     sc = docs.sparkSession.sparkContext
-    name = common.spare(docs, "contaminated")
-    found = []
-    for block in _blocks(items):
+    name, own, text = common.spare(docs, "contaminated"), common.private(docs), F.col("text").cast("string")
+    blocks = _blocks(items)
+    block, following = next(blocks), next(blocks, None)
+
+    def search(block: list[tuple[int, str]]) -> tuple[Broadcast, Column]:
         sent = sc.broadcast(block)
-        found.append(F.arrow_udf(_searcher(sent, uuid.uuid4().int, threshold), FOUND)(F.col("text").cast("string")))
-    return docs.withColumn(name, F.concat(*found) if len(found) > 1 else found[0])
+        return sent, F.arrow_udf(_searcher(sent, uuid.uuid4().int, threshold), FOUND)(text)
+
+    if following is None:
+        return docs.withColumn(name, search(block)[1])
+    keys = [f"{own}_h1", f"{own}_h2"]  # equal texts have equal hits
+    keyed = {keys[0]: F.xxhash64(text), keys[1]: F.xxhash64(F.lit(1), text)}
+    hits = []
+    while block is not None:
+        sent, found = search(block)
+        part = docs.select(*[c.alias(k) for k, c in keyed.items()], found.alias("found"))
+        hits.append(common.cut(part.where(F.size("found") > 0).dropDuplicates(keys), "containment-hits"))
+        sent.destroy()
+        block, following = following, next(blocks, None)
+    every = hits[0]
+    for h in hits[1:]:
+        every = every.unionByName(h)
+    every = common.cut(every.groupBy(*keys).agg(F.flatten(F.collect_list("found")).alias(f"{own}_found")), "containment-found")
+    common.discard(*hits)
+    out = docs.withColumns(keyed).join(every, keys, "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(f"{own}_found", F.array().cast(FOUND)).alias(name))
 
 
 def op3_size_partitioned_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,19 @@ def test_op3(spark, docs):
     assert {(r.doc_id, r.item_id, r.n_shared) for r in run(spark, "op3_size_partitioned_containment")} == want and want
 
 
+def test_op3_blocks_of_items(spark, docs, monkeypatch):
+    """Several blocks, one after the other, find what one block finds; repeated texts and rows without hits stay."""
+    d = common.documents(spark, DIR).select("doc_id", "text").union(common.documents(spark, DIR).select(F.col("doc_id") + 10_000, "text"))
+    items = spark.read.parquet(f"{DIR}/benchmark.parquet")
+
+    def hits():
+        return sorted((r.doc_id, sorted(map(tuple, r.contaminated))) for r in containment.contained(d, items).collect())
+
+    one = hits()
+    monkeypatch.setattr(containment, "BLOCK_ROWS", 7)
+    assert hits() == one and len(one) == 2 * len(docs) and any(x for _, x in one)
+
+
 def test_op4(spark, docs):
     from tokenizers import Tokenizer
 
