@@ -42,6 +42,14 @@ FOOTER = "\n\n---\n📚 **Sources:**\n"
 ICONS = {"article": "📖", "forum": "💬"}
 
 
+#: Sentences of a group at most, for an operator that holds a group as one array; more are an error.
+MOST = 5000
+
+
+def _bounded(xs: Column, most: int) -> Column:
+    return F.when(F.size(xs) <= most, xs).otherwise(F.raise_error(F.concat(F.lit("a group has more sentences than "), F.lit(str(most)))))
+
+
 def sentence_pairs(df: DataFrame, group: str, order: str, text: str = "text") -> DataFrame:
     """Similarity of the sentence pairs of a group that share a token: an equi-join on tokens, not all pairs."""
     tok = df.select(group, order, token_set(F.col(text)).alias("_t"))
@@ -59,7 +67,7 @@ def deduplicated(df: DataFrame, group: str, order: str, limit: float = 0.75) ->
     """
     kind = f"array<struct<ord:bigint,text:string,relevance:double,w:array<string>>>"
     item = F.struct(F.col(order).cast("long").alias("ord"), F.col("text"), F.col("relevance"), word_set(F.col("text")).alias("w"))
-    lists = df.groupBy(group).agg(F.array_sort(F.collect_list(item)).cast(kind).alias("xs"))
+    lists = df.groupBy(group).agg(F.array_sort(F.collect_list(item)).cast(kind).alias("xs")).withColumn("xs", _bounded(F.col("xs"), MOST))
 
     def step(kept: Column, x: Column) -> Column:
         like = F.filter(kept, lambda k: jaccard(k["w"], x["w"]) > limit)
@@ -74,10 +82,10 @@ def textrank(df: DataFrame, group: str, order: str, query: Column, top: int = 10
     """Sentences of a group by TextRank over token-set similarity, with query overlap, position and relevance; the best in their order.
 
     Scores that agree in 12 digits tie, in favour of the earlier sentence.  A group is one array: the sentences of the
-    chunks that answer one question, some hundreds at most; groups without a bound must be cut down before.
+    chunks that answer one question, some hundreds; more than ``MOST`` are an error, so cut such groups down before.
     """
     item = F.struct(F.col(order).cast("int").alias("ord"), F.col("text"), F.col("relevance"), F.col("position"), token_set(F.col("text")).alias("w"))
-    g = df.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("xs"), F.first(token_set(query)).alias("q"))
+    g = df.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("xs"), F.first(token_set(query)).alias("q")).withColumn("xs", _bounded(F.col("xs"), MOST))
     g = g.withColumn("sim", F.transform("xs", lambda a: F.transform("xs", lambda b: F.when(a["ord"] == b["ord"], 0.0).otherwise(jaccard(a["w"], b["w"])))))
     g = g.withColumn("rowsum", F.transform("sim", lambda r: F.aggregate(r, F.lit(0.0), lambda s, v: s + v)))
     n = F.size("xs")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
@@ -113,6 +114,15 @@ def test_dedup_order(spark):
     assert [r.sent_ord for r in answer.deduplicated(df, "g", "ord").orderBy("pos").collect()] == [1, 2]
 
 
+def test_groups_beyond_the_bound_are_errors(spark, monkeypatch):
+    monkeypatch.setattr(answer, "MOST", 3)
+    df = spark.range(4).selectExpr("1 as g", "id as ord", "'a b c' as text", "1.0D as relevance", "0.0D as position")
+    for f in (lambda d: answer.deduplicated(d, "g", "ord"), lambda d: answer.textrank(d, "g", "ord", F.lit("a"))):
+        assert f(df.where("ord < 3")).count() > 0
+        with pytest.raises(Exception, match="more sentences than 3"):
+            f(df).collect()
+
+
 def test_textrank_against_plain_iteration(spark):
     texts = ["alpha beta gamma", "beta gamma delta", "delta epsilon zeta", "alpha zeta omega"]
     df = spark.createDataFrame([(1, i, t, 1.0, i / 4) for i, t in enumerate(texts)], "g int, ord int, text string, relevance double, position double")
