@@ -197,7 +197,14 @@ def test_ask_answers_routes_and_falls_back(spark, corpus):
 # -- training, engine, evaluation -----------------------------------------------------------------------------------------
 
 
-def test_examples_split_train_save_load(spark, tmp_path):
+@pytest.fixture(scope="module")
+def trained(spark):
+    engine = Engine(spark)
+    engine.train(examples.full(spark, 2), folds=2, max_iter=12)
+    return engine
+
+
+def test_examples_split_train_save_load(spark, tmp_path, trained):
     full = examples.full(spark, 2)
     n = sum(map(len, examples.TEMPLATES.values()))
     counts = {r.source: r["count"] for r in full.groupBy("source").count().collect()}
@@ -211,7 +218,7 @@ def test_examples_split_train_save_load(spark, tmp_path):
     assert engine.health() == {"status": "loading", "models_loaded": False, "version": "1.0.0"}
     with pytest.raises(RuntimeError, match="no model"):
         engine.predict(spark.createDataFrame([(1, "x")], "query_id long, query string"))
-    metrics = engine.train(full, folds=2, max_iter=20)
+    engine, metrics = trained, trained.training
     assert len(metrics["cv_f1"]) == 2 and abs(metrics["cv_f1_mean"] - sum(metrics["cv_f1"]) / 2) < 1e-12 and metrics["cv_f1_std"] >= 0
     assert metrics["train_size"] + metrics["test_size"] == full.count() and metrics["test"]["accuracy"] > 0.5
     assert sum(map(sum, metrics["test"]["confusion"])) == metrics["test_size"]
@@ -238,7 +245,7 @@ def test_accents_and_log_counts(spark):
     assert out.w1 == ["ete", "ete"] and abs(max(out.logtf.values) - (1 + math.log(2))) < 1e-12
 
 
-def test_engine_asks_evaluates_and_records(spark, corpus, tmp_path):
+def test_engine_asks_evaluates_and_records(spark, corpus, tmp_path, trained):
     engine = Engine(spark, corpus, str(tmp_path / "log"), 64)
     requests = spark.createDataFrame([(1, "why is the sky blue", "science", 5), (2, "x", None, 99)], REQUEST)
     with pytest.raises(RuntimeError, match="not ready"):
@@ -247,7 +254,7 @@ def test_engine_asks_evaluates_and_records(spark, corpus, tmp_path):
     cases = spark.createDataFrame([("why is the sky blue", "science", ["sky", "moon"])], "query string, expected_mode string, expected_keywords array<string>")
     results, metrics = engine.evaluate(cases)  # without a model every case fails
     assert results.first().error.startswith("RuntimeError") and metrics.first().error_rate == 1.0 and metrics.first().intent_accuracy is None
-    engine.train(examples.full(spark, 2), folds=2, max_iter=10)
+    engine.model = trained.model
     assert engine.ready and engine.health()["status"] == "healthy"
     results, metrics = engine.evaluate(cases)
     r = results.first()
