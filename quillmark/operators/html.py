@@ -189,12 +189,14 @@ def sections(pages: DataFrame, key: str, headings: tuple[str, ...] = ("h2", "h3"
     w = W.partitionBy(key).orderBy("ord", "sub")
     head, upto = F.col("tag").isin(*headings), w.rowsBetween(W.unboundedPreceding, 0)
     own = F.when(head, F.substring("tag", 2, 1).cast("int"))
+    # the next heading is the last one from the end: a frame that grows is computed row by row
+    back = W.partitionBy(key).orderBy(F.desc("ord"), F.desc("sub")).rowsBetween(W.unboundedPreceding, -1)
     e = e.withColumns(
         {
             "section": F.last(F.when(head, F.col("ord")), ignorenulls=True).over(upto),
             "title": F.last(F.when(head, F.col("text")), ignorenulls=True).over(upto),
             "level": F.last(own, ignorenulls=True).over(upto),
-            "next": F.first(own, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)),
+            "next": F.last(own, ignorenulls=True).over(back),
         }
     )
     bare = F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\[\d+\]", "")
