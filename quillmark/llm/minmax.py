@@ -30,6 +30,8 @@ PERMS = BANDS * ROWS // 2
 THRESHOLD = 85
 #: About so many classes and shingles are a block of the second pass; so many of a component in a cell have blocks of their own.
 BLOCK, BLOCK_SHINGLES, LARGE = 512, 400_000, 64
+#: Where so many rows are in mixed buckets, one bucket in so many goes first.
+MIXED, EARLY = 50_000, 8
 #: Distinct shingles compared at once there.
 _COLUMNS = 1 << 13
 _CHUNK = 4096
@@ -204,6 +206,15 @@ def _across(named: DataFrame, classes: DataFrame, docs: DataFrame, threshold: in
     return out
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` (key, fp, n, pivot) with labels; and key, members of the buckets that hold several components."""
+    named = members.join(labels, members["fp"] == labels["node"], "left").select("key", "fp", "n", "pivot", F.coalesce("label", "fp").alias("label"))
+    named = common.cut(named, "dedup-named")
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"))
+    # of two members the pivot has settled the only pair
+    return named, common.cut(mixed.where("lo <> hi and members > 2").select("key", "members"), "dedup-mixed")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node it reaches) for every node of ``links`` (a, b).
 
@@ -246,28 +257,32 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD, rows: int = ROWS) -> Da
     links = compared.where(_linked(threshold)).select("a", "b")
     labels = components(links)
 
-    # buckets that still hold several components: links across them that no pivot has shown
-    named = members.join(labels, members["fp"] == labels["node"], "left").select("key", "fp", "n", "pivot", F.coalesce("label", "fp").alias("label"))
-    named = common.cut(named, "dedup-named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"))
-    # of two members the pivot has settled the only pair
-    mixed = common.cut(mixed.where("lo <> hi and members > 2").select("key"), "dedup-mixed")
-    if not mixed.isEmpty():
+    # buckets that still hold several components: links across them that no pivot has shown; where many rows are mixed, first
+    # those of some buckets, whose links leave most of the others with one component
+    early = F.pmod(F.xxhash64("key"), F.lit(EARLY)) == 0
+    named, mixed = _mixed(members, labels)
+    used, rows_mixed = [shared, pairs, named, mixed], mixed.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    rounds = [early, ~early] if rows_mixed > MIXED else [F.lit(True)] if rows_mixed else []
+    for k, part in enumerate(rounds):
+        if k:
+            named, mixed = _mixed(members, labels)
+            used += [named, mixed]
         # the pivot itself is settled
-        rest = named.where("fp <> pivot").join(mixed, "key").join(compared.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), "nb", "shared"), ["fp", "pivot"])
+        rest = named.where("fp <> pivot").join(mixed.where(part).select("key"), "key").join(compared.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), "nb", "shared"), ["fp", "pivot"])
         rest = rest.withColumn("distance", 1 - F.col("shared") / (F.col("n") + F.col("nb") - F.col("shared")))
         more = _across(rest.select("key", "fp", "n", "label", "distance"), classes, docs, threshold)
         if more is not None:
-            before = labels
-            labels = components(links.union(more))
-            common.discard(before, more)
+            links, before = links.union(more), labels
+            labels = components(links)
+            common.discard(before)
+            used.append(more)
 
     # classes that are alone and have one row need no entry
     named_class = classes.join(labels, classes["fp"] == labels["node"], "left").where("copies > 1 or label is not null").select("fp", "doc_id", "text_hash", F.coalesce("label", "fp").alias("label"))
     named_class = common.cut(named_class, "dedup-labelled")
     tops = named_class.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("top"))
     reps = common.cut(named_class.join(tops, "label").select("fp", F.col("top.doc_id").alias("component"), F.col("top.text_hash").alias("rep_hash")), "dedup-components")
-    common.discard(shared, members, pairs, compared, labels, named, mixed, named_class, classes)
+    common.discard(*used, members, compared, labels, named_class, classes)
 
     cols = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep_hash", "text_hash").alias("rep_hash")]
     # rows without links don't take part in the join: they would all have the same key

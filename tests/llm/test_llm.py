@@ -331,8 +331,10 @@ def test_op8(spark, docs):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
-def test_op8_borderline_group(spark):
-    """Near copies of which many pairs fail: the second pass must find the links that no pivot shows."""
+@pytest.mark.parametrize("mixed", [0, 50_000])
+def test_op8_borderline_group(spark, monkeypatch, mixed):
+    """Near copies of which many pairs fail: the second pass must find the links that no pivot shows, in one round or two."""
+    monkeypatch.setattr(minmax, "MIXED", mixed)
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(150)]
     rows = []
