@@ -11,10 +11,8 @@ retried or duplicated tasks do no harm.
 from __future__ import annotations
 
 import os
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +31,7 @@ END_ID = 2
 BATCH = 64
 #: Distinct chunks whose ids a Python worker keeps, and the longest that it keeps.
 TABLE, LONGEST = 800_000, 64
-_CALL = 2048  # chunks in a call of the library
+_CALL = 256  # chunks in a call of the library
 _BYTES = 2 << 20  # texts encoded together
 
 MANIFEST = "part int, file string, docs bigint, tokens bigint"
@@ -62,35 +60,48 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         kind = type(self.tok.pre_tokenizer).__name__
         self.cuts = kind == "ByteLevel" and self.tok.normalizer is None and not getattr(self.tok.pre_tokenizer, "add_prefix_space", True)
+        # chunks hold no added token, as texts with one are encoded whole
+        plain = [t.content for t in self.tok.get_added_tokens_decoder().values() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark = plain[0] if plain else None
         self.table: dict[str, bytes] = {}
 
-    def _packed(self, ids: list[int]) -> bytes:
-        """Little-endian numbers of the width of ``dtype``."""
-        a = array("H" if self.dtype.itemsize == 2 else "I", ids)
-        if sys.byteorder == "big":
-            a.byteswap()
-        return a.tobytes()
-
     def _bytes(self, text: str) -> bytes:
-        return self._packed(self.tok.encode(text, add_special_tokens=False).ids)
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         out: list[str] = [""]
-        add, mark = out.append, ""
+
+        def put(mark: str, p: str) -> None:
+            if p[-1] in ".,;:!?" and p[-2:-1].isalpha():  # a letter run ends before punctuation
+                out.append(mark + p[:-1])
+                out.append(p[-1])
+            else:
+                out.append(mark + p)
+
+        mark = ""
         for line in text.split("\n"):
             for p in line.split(" "):
-                if not p or p[0].isspace():
-                    out[-1] += mark + p
-                elif p[-1] in ".,;:!?" and p[-2:-1].isalpha():  # a letter run ends before punctuation
-                    add(mark + p[:-1])
-                    add(p[-1])
+                if p and not p[0].isspace():
+                    put(mark, p)
                 else:
-                    add(mark + p)
+                    out[-1] += mark + p
                 mark = " "
             mark = "\n"
         return out
 
+    def _encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each chunk with its ids.  An added token that strips nothing parts them in one text, which the library splits there first."""
+        if self.mark is None:
+            for c, e in zip(chunks, self.tok.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+                yield c, np.array(e.ids, dtype=self.dtype).tobytes()
+            return
+        ids = np.array(self.tok.encode_batch_fast([self.mark.join(chunks)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends, raw, width, at = np.flatnonzero(ids == self.tok.token_to_id(self.mark)).tolist(), ids.tobytes(), self.dtype.itemsize, 0
+        for c, end in zip(chunks, [*ends, len(ids)], strict=True):
+            yield c, raw[at * width : end * width]
+            at = end + 1
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -101,20 +112,25 @@ class Encoder:
         whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
         cut = [[] if k in whole else self.chunks(t) for k, t in enumerate(texts)]
         table = self.table
-        found = [list(map(table.get, words)) for words in cut]
-        new = list({w for words, f in zip(cut, found, strict=True) if None in f for w, x in zip(words, f, strict=True) if x is None})
-        extra = {}
-        for at in range(0, len(new), _CALL):
-            part = new[at : at + _CALL]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                extra[c] = self._packed(e.ids)
-        if len(table) + len(extra) > TABLE:  # begun anew, which bounds memory
-            table.clear()
-        table.update((c, x) for c, x in extra.items() if len(c) <= LONGEST)
-        out = [b"".join(f if None not in f else [extra[w] if x is None else x for w, x in zip(words, f, strict=True)]) for words, f in zip(cut, found, strict=True)]
-        for k in whole:
-            out[k] = self._bytes(texts[k])
-        return out
+        new = list({c for words in cut for c in words if c not in table})
+        got = table
+        if new:
+            if len(table) + len(new) > TABLE:
+                kept = {c: table[c] for words in cut for c in words if c in table}
+                table.clear()
+                got = kept
+            extra = {}
+            for at in range(0, len(new), _CALL):
+                extra.update(self._encoded(new[at : at + _CALL]))
+            if got is table:
+                table.update((c, x) for c, x in extra.items() if len(c) <= LONGEST)
+                look = table if all(len(c) <= LONGEST for c in new) else table | extra
+            else:
+                look = got | extra
+                table.update((c, x) for c, x in look.items() if len(c) <= LONGEST and len(table) < TABLE)
+        else:
+            look = table
+        return [(self._bytes(t) if k in whole else b"".join([look[c] for c in cut[k]])) for k, t in enumerate(texts)]
 
 
 @lru_cache(maxsize=2)
