@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 EXAMPLE = "text string, label string, source string, confidence double"
+#: Characters whose capitals are several letters, and the one letter that stands for each by itself.
+_SEVERAL = "".join(c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1)
+_CAPITAL = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _SEVERAL)
 
 
 def draw(seed: int, purpose: str, *key: Column) -> Column:
@@ -46,8 +49,19 @@ def swapped(text: Column, at: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), at), F.substr(text, at + 2, F.lit(1)), F.substr(text, at + 1, F.lit(1)), F.substr(text, at + 3))
 
 
+def uppered(text: Column) -> Column:
+    """``text`` in capitals, letter by letter: never longer, ß becomes ẞ."""
+    one = lambda c: F.when(F.length(F.upper(c)) > 1, F.translate(c, _SEVERAL, _CAPITAL)).otherwise(F.upper(c))
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def lowered(text: Column) -> Column:
+    """``text`` in small letters, letter by letter, whatever stands beside one: never longer, Σ becomes σ."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.substring(F.lower(c), 1, 1)), "")
+
+
 def noisy(text: Column, key: Column, seed: int = 42) -> Column:
-    """``text`` with one change: two neighbouring characters swapped, its case changed, or a word but the first left out.
+    """``text`` with one change: two neighbouring characters swapped, its case changed letter by letter, or a word but the first left out.
 
     Texts of up to 3 characters (swap) or 3 words (word) stay as they are.
     """
@@ -55,7 +69,7 @@ def noisy(text: Column, key: Column, seed: int = 42) -> Column:
     words = T.words(text)
     gone = F.pmod(draw(seed, "word", key), F.greatest(F.size(words) - 1, F.lit(1))) + 1
     kind = F.pmod(draw(seed, "kind", key), F.lit(3))
-    cased = F.when(F.pmod(draw(seed, "case", key), F.lit(2)) == 0, F.lower(text)).otherwise(F.upper(text))
+    cased = F.when(F.pmod(draw(seed, "case", key), F.lit(2)) == 0, lowered(text)).otherwise(uppered(text))
     return (
         F.when((kind == 0) & (F.length(text) > 3), swapped(text, at))
         .when(kind == 1, cased)

@@ -215,6 +215,14 @@ def test_noise(spark):
     assert all((r.x or "").lower() == (r.text or "") for r in short.collect())
 
 
+def test_case_changes_letter_by_letter(spark):
+    assert one(spark, dataset.uppered(F.lit("Größe ŉ ᾳ ﬁ 😀\nç"))) == "GRÖẞE ŉ ᾼ ﬁ 😀\nÇ"
+    assert one(spark, dataset.lowered(F.lit("İST ΟΔΟΣ 😀"))) == "ist οδοσ 😀"
+    assert [one(spark, f(F.lit(t))) for f in (dataset.uppered, dataset.lowered) for t in ("", None)] == ["", None] * 2
+    e = spark.createDataFrame([(i, "Maß und Fuß", "l", "template", 1.0) for i in range(60)], "id int, text string, label string, source string, confidence double")
+    assert "MAẞ UND FUẞ" in {r.text for r in dataset.augment(e, "id", 1.0).collect()}
+
+
 def test_append_manual(spark):
     e = spark.createDataFrame([], dataset.EXAMPLE)
     assert [tuple(r) for r in dataset.append_manual(e, [("q", "fact")]).collect()] == [("q", "fact", "manual", 1.0)]
