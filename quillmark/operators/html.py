@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ SKIP = ("see also", "references", "external links", "further reading", "notes",
 HEADLINE = "mw-headline"
 _DROP = {"sup", "style", "script"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);|([A-Za-z][A-Za-z0-9]*;))?")
 _KIND = pa.struct(
     [
         ("items", pa.list_(pa.struct([("ord", pa.int32()), ("sub", pa.int32()), ("tag", pa.string()), ("text", pa.string())]))),
@@ -40,6 +42,7 @@ class _Page(HTMLParser):
     def __init__(self, headings: frozenset[str]):
         super().__init__(convert_charrefs=True)
         self.headings = headings
+        self.mark = ""  # stands for an & that begins no reference
         self.n, self.dropped = 0, 0
         self.items: list[tuple[int, int, str, list[str]]] = []
         self.block: list[str] | None = None
@@ -132,6 +135,8 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         if self.dropped:
             return
+        if self.mark:
+            data = data.replace(self.mark, "&")
         self.all.append(data)
         if self.headline is not None and self.spans and any(self.spans):
             self.headline.append(data)
@@ -150,9 +155,20 @@ class _Page(HTMLParser):
                 self.pairs.append((key, value))
 
 
-def parsed(html: str | None, headings: frozenset[str] = frozenset(("h2", "h3", "h4"))) -> dict:
-    """items (place, place in its list, tag, text), infobox, n_references, disambiguation and the bare text of a page."""
+def _held(html: str) -> tuple[str, str]:
+    """``html`` with a character that it lacks for each ``&`` that begins no reference ended by its semicolon, and that character."""
+    mark = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in html)
+    return _REFERENCE.sub(lambda m: mark + m[0][1:] if m[0] == "&" or m[1] and m[1] not in html5 else m[0], html), mark
+
+
+def parsed(html: str | None, headings: frozenset[str] = frozenset(("h2", "h3", "h4")), unended: bool = True) -> dict:
+    """items (place, place in its list, tag, text), infobox, n_references, disambiguation and the bare text of a page.
+
+    References like ``&amp`` without their semicolon are read as HTML has it; without ``unended`` they stay as they stand.
+    """
     p = _Page(headings)
+    if html and not unended:
+        html, p.mark = _held(html)
     p.feed(html or "")
     p.close()
     for row in p.rows:
@@ -167,25 +183,25 @@ def parsed(html: str | None, headings: frozenset[str] = frozenset(("h2", "h3", "
     }
 
 
-def parse(html: Column, headings: tuple[str, ...] = ("h2", "h3", "h4")) -> Column:
+def parse(html: Column, headings: tuple[str, ...] = ("h2", "h3", "h4"), unended: bool = True) -> Column:
     """``parsed`` as a struct column; a null page is an empty one."""
     tags = frozenset(headings)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array([parsed(x, tags) for x in b.to_pylist()], type=_KIND)
+            yield pa.array([parsed(x, tags, unended) for x in b.to_pylist()], type=_KIND)
 
     return F.arrow_udf(run, _SQL)(html)
 
 
-def sections(pages: DataFrame, key: str, headings: tuple[str, ...] = ("h2", "h3", "h4")) -> DataFrame:
+def sections(pages: DataFrame, key: str, headings: tuple[str, ...] = ("h2", "h3", "h4"), unended: bool = True) -> DataFrame:
     """key, section, title, level, ref_level, content, sentences, word_count, has_citations, parent_section of ``pages`` (key, html).
 
     Text before the first heading, skipped titles and sections without text are left out.  ``level`` is the section's own;
     ``ref_level`` that of the next heading, 2 for the last section.  Markers like [1] are taken out before
-    ``has_citations`` looks for them; no section has a parent.
+    ``has_citations`` looks for them; no section has a parent.  ``unended`` is that of ``parsed``.
     """
-    e = pages.select(key, F.explode(parse(F.col("html"), headings)["items"]).alias("e")).select(key, "e.*")
+    e = pages.select(key, F.explode(parse(F.col("html"), headings, unended)["items"]).alias("e")).select(key, "e.*")
     w = W.partitionBy(key).orderBy("ord", "sub")
     head, upto = F.col("tag").isin(*headings), w.rowsBetween(W.unboundedPreceding, 0)
     own = F.when(head, F.substring("tag", 2, 1).cast("int"))

@@ -152,6 +152,18 @@ def test_html_sections(spark):
     assert len(got) == 3 and got[2][4].count("•") == 10  # the first ten items
 
 
+def test_references_without_semicolon(spark):
+    page = "<h1>a &amp; b&amp</h1><p>x&ampy; &lt &#38; &#38 &quo; & &copy;&amp;amp; \ue000 long enough</p>"
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    rows = [html.sections(df, "page_id", ("h1",), *more).first() for more in ((), (False,))]
+    assert [(r.title, r.content) for r in rows] == [
+        ("a & b&", "x&y; < & & &quo; & ©&amp; \ue000 long enough"),
+        ("a & b&amp", "x&ampy; &lt & &#38 &quo; & ©&amp; \ue000 long enough"),
+    ]
+    cut_short = "<h1>t&amp</h1><p>a text that is long enough</p>"  # as the pages of sf0.1 have it
+    assert [html.parsed(cut_short, unended=u)["text"] for u in (True, False)] == ["t&a text that is long enough", "t&ampa text that is long enough"]
+
+
 def test_html_facts(spark):
     page = '<table class="x infobox"><tr><th>A</th><td>1</td></tr><tr><th>A</th><td> 2<b>3</b>[4]</td></tr><tr><th>B</th><td> </td></tr><tr><td>no header</td></tr></table><table class="infobox"><tr><th>C</th><td>c</td></tr></table>'
     refs = '<ol><li>x</li></ol><ol class="references"><li>a<ul><li>b</li></ul></li><li>c</li></ol><ol class="references"><li>d</li></ol><div class="dmbox y"></div>'
