@@ -237,12 +237,15 @@ def stripped(html: Column) -> Column:
     return parse(html)["text"]
 
 
-def articles(pages: DataFrame, key: str, headings: tuple[str, ...] = ("h2", "h3", "h4")) -> DataFrame:
-    """``pages`` (key, html, further columns) with sections (an array in order), total_word_count, infobox, n_references and disambiguation in place of html."""
+def articles(pages: DataFrame, key: str, headings: tuple[str, ...] = ("h2", "h3", "h4"), unended: bool = True) -> DataFrame:
+    """``pages`` (key, html, further columns) with sections (an array in order), total_word_count, infobox, n_references and disambiguation in place of html.
+
+    ``unended`` is that of ``parsed``, for the sections.
+    """
     # a name of its own, as a key may be called like a column of the sections
     p = pages.select(F.col(key).alias("_page"), "html")
     one = F.struct("section", "title", "level", "content", "sentences", "word_count", "has_citations")
-    s = sections(p, "_page", headings).groupBy("_page").agg(F.array_sort(F.collect_list(one)).alias("sections"), F.sum("word_count").alias("total_word_count"))
+    s = sections(p, "_page", headings, unended).groupBy("_page").agg(F.array_sort(F.collect_list(one)).alias("sections"), F.sum("word_count").alias("total_word_count"))
     found = facts(p, "_page").join(s, "_page", "left")
     out = pages.drop("html").join(found, F.col(key) == F.col("_page")).drop("_page")
     return out.withColumn("total_word_count", F.coalesce("total_word_count", F.lit(0)))

@@ -164,6 +164,12 @@ def test_references_without_semicolon(spark):
     assert [html.parsed(cut_short, unended=u)["text"] for u in (True, False)] == ["t&a text that is long enough", "t&ampa text that is long enough"]
 
 
+def test_articles_keep_unended_references(spark):
+    df = spark.createDataFrame([(1, "<h1>t&amp</h1><p>a text that is long &lt enough</p>")], "page_id int, html string")
+    got = [html.articles(df, "page_id", ("h1",), u).first().sections[0] for u in (True, False)]
+    assert [(s.title, s.content) for s in got] == [("t&", "a text that is long < enough"), ("t&amp", "a text that is long &lt enough")]
+
+
 def test_html_facts(spark):
     page = '<table class="x infobox"><tr><th>A</th><td>1</td></tr><tr><th>A</th><td> 2<b>3</b>[4]</td></tr><tr><th>B</th><td> </td></tr><tr><td>no header</td></tr></table><table class="infobox"><tr><th>C</th><td>c</td></tr></table>'
     refs = '<ol><li>x</li></ol><ol class="references"><li>a<ul><li>b</li></ul></li><li>c</li></ol><ol class="references"><li>d</li></ol><div class="dmbox y"></div>'
