@@ -324,6 +324,8 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, rows: int
     def same(other: DataFrame) -> Column:
         return (keyed[f"{own}_key"] == other[f"{own}_id"]) & (keyed[f"{own}_text"] == other[f"{own}_hash"])
 
+    # marks are ids: while they are few no text moves, whatever the session's own bound for broadcasts
+    gone, repeated = common.small(gone), common.small(repeated)
     out = keyed.join(gone, same(gone), "left_anti")
     if not repeated.isEmpty():
         keyed = out

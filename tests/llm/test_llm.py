@@ -464,6 +464,23 @@ def test_op10_against_a_plain_scorer(spark):
     assert found > 60
 
 
+@pytest.mark.parametrize(("bound", "joins"), [(100, "BroadcastHashJoin"), (0, "ShuffledHashJoin")])
+def test_marks_move_no_text_while_few(spark, monkeypatch, bound, joins):
+    monkeypatch.setattr(common, "SMALL_ROWS", bound)
+    near = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, near), (2, near), (2, near), (3, near + " x"), (4, "another text"), (4, "another text"), (5, None)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = minmax.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 6)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in left.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert joins in plan and "SortMergeJoin" not in plan
+    assert got == [(1, near), (4, "another text"), (5, None)]
+
+
 @pytest.mark.parametrize("f", [compression.quality, pii.detected, trigram.scanned, trigram.masked, chunk_bpe.digests, stratified.interleave, minmax.near_duplicates, minmax.drop_near_duplicates, licenses.scanned, lambda d: ecoc.identified(d, ecoc.train(d)), lambda d: containment.contained(d, d.selectExpr("doc_id as item_id", "text"))])
 def test_odd_rows_empty_tables_and_clashing_names(f, spark, odd):
     n = f(odd).count()
