@@ -60,6 +60,21 @@ def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Bytes of rows that a Python worker gets at once; a larger row goes alone.
+BATCH_BYTES = 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` at most, or fewer where the session has fewer, from now on.
+
+    A batch is held in several buffers, by the executor and by the worker, and each of them keeps what it once took;
+    10,000 rows of whole texts, Spark's own bound, are up to 64 MB a buffer.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, f"{BATCH_BYTES}b"))
+    spark.conf.set(key, f"{min(have, BATCH_BYTES)}b")
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     have = {c.lower() for c in df.columns}

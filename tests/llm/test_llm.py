@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -587,6 +588,27 @@ def test_pipeline_drops_copies_from_similarity_080(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, DIR).collect()) == [1, 3]
 
 
+def test_pipeline_sends_workers_small_batches(spark):
+    import corpus_pipeline
+
+    def sizes(batch: pa.Array) -> pa.Array:
+        return pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(48, numPartitions=1).selectExpr("id as doc_id", "'en' as lang", "'s' as source", "repeat(concat('w', id, ' '), 100000) as text")
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, texts.limit(1), DIR)
+            rows = texts.select(F.length("text").alias("n"), F.arrow_udf(sizes, "bigint")("text").alias("size")).collect()
+            assert len(rows) == 48 and max(r.size for r in rows) <= common.BATCH_BYTES + max(r.n for r in rows) + 4096
+        spark.conf.set(key, "1m")
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == f"{1 << 20}b"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_op10_wrapped_notices_and_long_paragraphs(spark):
     prose = "the harbour was quiet and the boats lay at their moorings all morning while rain fell " * 20
     rows = [
